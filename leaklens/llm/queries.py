@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, host_rules
+from . import bytecnn, decontaminate, host_rules, mixing, sharding
 from .common import table
 
 
@@ -14,6 +14,18 @@ def op2_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.assess(table(spark, sf_dir, "documents"))
 
 
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bytecnn.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -21,5 +33,8 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_host_rules": op2_host_rules,
+        "op3_mix_sources": op3_mix_sources,
+        "op5_shard": op5_shard,
+        "op6_quality": op6_quality,
         "op10_decontaminate": op10_decontaminate,
     }
