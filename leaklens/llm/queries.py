@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bytecnn, decontaminate, host_rules, mixing, sharding
+from . import bytecnn, decontaminate, host_rules, minhash, mixing, sharding
 from .common import table
 
 
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.NearDuplicates(table(spark, sf_dir, "documents"), shingle=4).report()
+
+
 def op2_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.assess(table(spark, sf_dir, "documents"))
 
@@ -32,6 +36,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_minhash": op1_minhash,
         "op2_host_rules": op2_host_rules,
         "op3_mix_sources": op3_mix_sources,
         "op5_shard": op5_shard,
