@@ -99,13 +99,16 @@ class Mixture:
             with np.errstate(divide="ignore", invalid="ignore"):
                 budget = float(np.nanmax(np.where(share > 0, self.available / share, 0.0)))
         self.targets = share * budget
-        speed = 1.0 / max(1e-12, float(np.linalg.eigvalsh(gram / tokens)[-1]))
+        # The distance to the targets is measured in the metric that makes all directions of the domains alike steep, so
+        # that a step of 1 is safe and few are needed.
+        metric = np.linalg.inv(gram / tokens + 1e-6 * np.eye(d))
         for _ in range(steps):
-            got = np.array(members.agg(*[F.coalesce(F.sum(_rate(F.col("p"), self.steps) * F.col("n_tokens") * p[k]), F.lit(0.0)) for k in range(d)]).first())
+            used = members.select("p", (_rate(F.col("p"), self.steps) * F.col("n_tokens")).alias("used"))
+            got = np.array(used.agg(*[F.coalesce(F.sum(F.col("used") * p[k]), F.lit(0.0)) for k in range(d)]).first())
             residual = (got - self.targets) / tokens
             if np.abs(residual).max() <= tolerance * max(1e-12, self.targets.sum() / tokens):
                 break
-            self.steps.append(speed * residual)
+            self.steps.append(metric @ residual)
 
     def rate(self, n_tokens: Column, p: Column) -> Column:
         return F.when(n_tokens > 0, _rate(p, self.steps)).otherwise(F.lit(1.0))
