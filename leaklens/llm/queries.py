@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bytecnn, decontaminate, host_rules, lm, minhash, mixing, pii, secrets, sharding
+from . import bytecnn, decontaminate, host_rules, lm, minhash, mixing, pii, secrets, sharding, substrings
 from .common import table
 
 
@@ -34,6 +34,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytecnn.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
@@ -54,6 +58,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_pii": op4_pii,
         "op5_shard": op5_shard,
         "op6_quality": op6_quality,
+        "op7_repeats": op7_repeats,
         "op8_lm_score": op8_lm_score,
         "op9_secrets": op9_secrets,
         "op10_decontaminate": op10_decontaminate,
