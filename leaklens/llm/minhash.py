@@ -12,8 +12,10 @@ Nothing emits all pairs of a group:
 2. In every bucket (rows of one key) each class is paired with the bucket's smallest one only. These stars, filtered by
    signature distance, are confirmed and give components.
 3. Only classes that are in one bucket but in different components can still add a link that matters. Their signatures
-   are compared in blocks of at most ``BLOCK`` rows (a larger bucket is dealt over pairs of blocks), and pairs within
-   the distance are confirmed too. Pairs inside a component change nothing and are not looked at.
+   are compared in blocks of at most ``BLOCK`` rows (a larger bucket is dealt over pairs of blocks), and what is
+   within the distance gives a forest over the components, not pairs. The components that it connects are a family; in
+   a family's blocks the full shingle sets are compared through an inverted index, and only links that join two
+   components come out. So no group's pairs are ever rows, and no link between two components is lost.
 
 Components are labelled by their smallest doc_id, by min-label propagation with pointer jumping over written tables.
 
@@ -149,27 +151,94 @@ def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
+class _Union:
+    """Joined labels, within one task."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = self.up.get(y, y)
+            x = y
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.find(x), self.find(y)
+        if x != y:
+            self.up[max(x, y)] = min(x, y)
+        return x != y
+
+
 def _near_in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, i, j, block, node, comp, first, n, sig) sorted by the first three; pairs of different components within the distance."""
+    """Rows (key, i, j, block, node, comp, first, n, sig) sorted by the first three: a forest over the components that have signatures within the distance."""
     for (_, i, j), pieces in _grouped(batches, 3):
         t = pa.Table.from_batches(pieces).combine_chunks().to_batches()[0]
         block, node, comp, first, n = (t.column(k).to_numpy(zero_copy_only=False) for k in range(3, 8))
         sig = _matrix(t.column(8))
         rows = np.flatnonzero(block == i)
         others = np.flatnonzero(block == j)
-        left, right = [], []
+        left, right, union = [], [], _Union()
         for x in rows:
+            if node[x] == first[x]:
+                continue  # its pairs were all confirmed or not
             ys = others[others > x] if i == j else others
-            ys = ys[(comp[ys] != comp[x]) & (first[ys] != node[ys])] if node[x] != first[x] else ys[:0]
+            ys = ys[(comp[ys] != comp[x]) & (first[ys] != node[ys])]
             ys = ys[(5 * n[ys] >= 4 * n[x]) & (5 * n[x] >= 4 * n[ys])]
             if len(ys):
-                ys = ys[(sig[ys] != sig[x]).sum(axis=1) <= DISTANCE]
-                left += [min(node[x], node[y]) for y in ys]
-                right += [max(node[x], node[y]) for y in ys]
+                for c in np.unique(comp[ys[(sig[ys] != sig[x]).sum(axis=1) <= DISTANCE]]).tolist():
+                    if union.join(int(comp[x]), c):
+                        left.append(int(comp[x]))
+                        right.append(c)
         if left:
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
 
+def _family_links(size: int, percent: int):
+    """Rows (family, i, j, block, node, comp, text) sorted by the first three: links between different components, a spanning set of them.
+
+    The shingles of block j are an inverted index, which gives a text's intersections with all of them at once.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, i, j), pieces in _grouped(batches, 3):
+            block, node, comp = (np.concatenate([p.column(k).to_numpy(zero_copy_only=False) for p in pieces]) for k in (3, 4, 5))
+            sets = [s for p in pieces for _, _, words in each_slice(p.column(6)) for s in shingle_sets(words, size)]
+            rows, others = np.flatnonzero(block == i), np.flatnonzero(block == j)
+            if not len(rows) or not len(others):
+                continue
+            lengths = np.array([len(sets[y]) for y in others])
+            shingles, owners = np.concatenate([sets[y] for y in others]), np.repeat(np.arange(len(others)), lengths)
+            order = np.argsort(shingles, kind="stable")
+            shingles, owners = shingles[order], owners[order]
+            left, right, union = [], [], _Union()
+            for x in rows:
+                s = sets[x]
+                able = (comp[others] != comp[x]) & (100 * np.minimum(lengths, len(s)) >= percent * np.maximum(lengths, len(s)))
+                if not able.any():
+                    continue
+                lo = np.searchsorted(shingles, s, "left")
+                n = np.searchsorted(shingles, s, "right") - lo
+                at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+                both = np.bincount(owners[at], minlength=len(others))
+                for y in others[able & (both > 0) & (100 * both >= percent * (lengths + len(s) - both))]:
+                    if union.join(int(comp[x]), int(comp[y])):
+                        left.append(min(node[x], node[y]))
+                        right.append(max(node[x], node[y]))
+            if left:
+                yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def _in_block_pairs(rows: DataFrame, size: str, name: str, block: int) -> DataFrame:
+    """rows with block, i, j: a group of up to ``block`` rows is one block, a larger one is dealt over the pairs of its blocks."""
+    parts = F.when(F.col(size) <= block, 1).otherwise(F.ceil(F.col(size) / F.lit(block // 2)).cast("int"))
+    x = rows.withColumn("parts", parts).withColumn("block", F.pmod(F.xxhash64(name), F.col("parts")).cast("int"))
+    x = x.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return x.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp) for the nodes of ``edges`` (a, b): the smallest node reachable, in rounds until nothing changes."""
     both = write_cut(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct(), "links")
@@ -209,15 +278,12 @@ class NearDuplicates:
 
         placed = members.where("size > 2").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-        parts = F.ceil(F.col("size") / F.lit(BLOCK // 2)).cast("int")
-        parts = F.when(F.col("size") <= BLOCK, 1).otherwise(parts)
-        dealt = placed.join(mixed, "key", "left_semi").join(nodes, "node").withColumn("parts", parts).withColumn("block", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        dealt = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "comp", "first", "n", "sig")
-        rest = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_near_in_blocks, "a long, b long").distinct()
-        rest = write_cut(rest, "rest")
-        if rest.limit(1).count():
-            links = links.union(self._confirmed(docs, rest))
+        dealt = _in_block_pairs(placed.join(mixed, "key", "left_semi").join(nodes, "node"), "size", "node", BLOCK)
+        dealt = dealt.select("key", "i", "j", "block", "node", "comp", "first", "n", "sig")
+        forest = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_near_in_blocks, "a long, b long").distinct()
+        forest = write_cut(forest, "forest")
+        if forest.limit(1).count():
+            links = links.union(self._within_families(docs, forest, comps))
             comps = components(links)
         self.links, self.components = links, comps
 
@@ -233,6 +299,17 @@ class NearDuplicates:
         rows = owns.select(*cols).union(others.select(*cols)).repartition("a", "salt").sortWithinPartitions("a", "salt", "side")
         return write_cut(rows.mapInArrow(_confirm(self.shingle, self.percent), "a long, b long").distinct(), "confirmed")
 
+    def _within_families(self, docs: DataFrame, forest: DataFrame, comps: DataFrame) -> DataFrame:
+        """Links between different components of a family: those that the forest connects."""
+        families = components(forest).select(F.col("node").alias("comp"), F.col("comp").alias("family"))
+        alone = families.select(F.col("comp").alias("node"), "comp", "family").join(comps.select("node"), "node", "left_anti")
+        members = write_cut(comps.join(families, "comp").select("node", "comp", "family").union(alone), "families")
+        sized = members.join(members.groupBy("family").agg(F.count("*").alias("size")), "family")
+        texts = docs.select(F.col("doc_id").alias("node"), "text")
+        rows = _in_block_pairs(sized, "size", "node", BLOCK).join(texts, "node").select("family", "i", "j", "block", "node", "comp", "text")
+        rows = rows.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
+        return write_cut(rows.mapInArrow(_family_links(self.shingle, self.percent), "a long, b long").distinct(), "family-links")
+
     def report(self) -> DataFrame:
         """doc_id, n_shingles, component_id, kept: one row per row of the documents."""
         named = self.classes.select("fp", "node").join(self.components, "node", "left").select("fp", F.coalesce("comp", "node").alias("comp"))
