@@ -38,7 +38,7 @@ class Config:
 def read_diffs(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
     """One row per file: request_id (its name), diff."""
     reader = spark.readStream if stream else spark.read
-    return reader.option("wholetext", True).text(path).select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.[^./]*)?$", 1).alias("request_id"), F.col("value").alias("diff"), F.lit(False).alias("deep"))
+    return reader.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.[^./]*)?$", 1).alias("request_id"), F.col("value").alias("diff"), F.lit(False).alias("deep"))
 
 
 def read_requests(spark: SparkSession, path: str) -> DataFrame:
@@ -96,6 +96,6 @@ def read_rules(path: str) -> list[Rule]:
 def read_corpus(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs <name>.diff and <name>.expect.json: name, diff, expectation, strict (no unknown keys)."""
     name = F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.expect)?\.[^./]*$", 1).alias("name")
-    diffs = spark.read.option("wholetext", True).text(f"{folder}/*.diff").select(name, F.col("value").alias("diff"))
-    wants = spark.read.option("wholetext", True).text(f"{folder}/*.expect.json").select(name, F.from_json("value", EXPECTATION).alias("expectation"), F.json_object_keys("value").alias("keys"))
+    diffs = spark.read.text(f"{folder}/*.diff", wholetext=True).select(name, F.col("value").alias("diff"))
+    wants = spark.read.text(f"{folder}/*.expect.json", wholetext=True).select(name, F.from_json("value", EXPECTATION).alias("expectation"), F.json_object_keys("value").alias("keys"))
     return diffs.join(wants, "name").select("name", "diff", "expectation", (F.size(F.array_except("keys", F.array(*[F.lit(k) for k in EXPECTATION_KEYS]))) == 0).alias("strict"))

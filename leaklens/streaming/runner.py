@@ -23,7 +23,7 @@ def start_scan(spark: SparkSession, source: str, sink: str, checkpoint: str, max
     def write(batch: DataFrame, batch_id: int) -> None:
         scan_batch(batch).write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
 
-    arriving = spark.readStream.option("wholetext", True).option("maxFilesPerTrigger", max_files).text(source)
+    arriving = spark.readStream.option("maxFilesPerTrigger", max_files).text(source, wholetext=True)
     named = arriving.select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(\.[^./]*)?$", 1).alias("request_id"), F.col("value").alias("diff"))
     return named.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

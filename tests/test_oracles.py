@@ -1,0 +1,19 @@
+import pytest
+from oracle import assert_same
+
+from leaklens.plans import catalog
+
+
+@pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
+def test_query_equals_sql(spark, name):
+    assert_same(spark, catalog.queries()[name], catalog.oracle_sql()[name], "/root/testdata/sf0.001")
+
+
+@pytest.mark.parametrize("name", ["leaks_by_source", "rule_match_documents", "dedup_findings", "context_window_join", "collision_anti_join", "secret_recall_semi_join"])
+def test_query_with_findings_equals_sql(spark, name):
+    assert_same(spark, catalog.queries()[name], catalog.oracle_sql()[name], "/root/testdata/sf0.01")
+
+
+@pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql())))
+def test_other_queries_run(spark, name):
+    assert catalog.queries()[name](spark, "/root/testdata/sf0.001").count() >= 0
