@@ -14,7 +14,7 @@ have equal anchors at equal places and only anchors that several documents share
    windows at all, and anchors with one context only have nothing to compare.
 3. Windows found in smaller documents give byte ranges, which are joined to their texts.
 
-An anchor that over ``HOT`` of all shared anchors have would meet in one task. Its contexts are cut into their
+An anchor with over HOT_ROWS rows and over ``HOT`` of all shared ones would meet in one task. Its contexts are cut into their
 windows and dealt by the windows' own hashes, so that inner windows merge before they travel and outer ones spread.
 
 Edge cases: a null or empty text, and one under 50 bytes, loses nothing; rows with a null doc_id neither lose bytes nor
@@ -37,7 +37,7 @@ from .textops import _BYTE_CODE, _powers_to, mix, slices, text_bytes
 
 LENGTH, GRAM = 50, 20
 REACH = LENGTH - GRAM
-HOT = 1 / 1000
+HOT, HOT_ROWS = 1 / 1000, 50_000
 ROWS_PER_TASK = 400_000
 BATCH = 100_000
 
@@ -311,7 +311,7 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     shared = write_cut(found.mapInArrow(_shared_rows, "h long, doc long, pos int"), "shared-anchors")
     _release(spark)
     total = shared.count()
-    hot = shared.groupBy("h").count().where(F.col("count") > max(50_000, int(total * HOT))).select("h").collect()  # under 1 / HOT rows
+    hot = shared.groupBy("h").count().where(F.col("count") > max(HOT_ROWS, int(total * HOT))).select("h").collect()  # under 1 / HOT rows
     places = shared.groupBy("doc").agg(F.collect_list("pos").alias("at"))  # a document's anchors: bounded by its length
     wide = docs.withColumn("row", F.xxhash64("text")).join(places, "doc").select("doc", "row", "text", "at")
     contexts = wide.mapInArrow(_contexts(np.array([r["h"] for r in hot], np.int64)), _CONTEXT)
