@@ -17,7 +17,8 @@ Nothing emits all pairs of a group:
    a family's blocks the full shingle sets are compared through an inverted index, and only links that join two
    components come out. So no group's pairs are ever rows, and no link between two components is lost.
 
-Components are labelled by their smallest doc_id, by min-label propagation with pointer jumping over written tables.
+Components are labelled by their smallest doc_id: by min-label propagation with pointer jumping over written tables, or
+in one task while the edges are few enough, which is counted.
 
 Edge cases: a null, empty or wordless text has no shingles and is linked with nothing; a text of fewer words is one
 shingle; a null doc_id is never linked, has a null component and is kept; repeated rows are copies of each other; two
@@ -44,6 +45,8 @@ SYMBOLS = CHUNKS * CHUNK
 DISTANCE = CHUNKS * (ALLOWED + 1) - 1
 BLOCK = 1024
 FAN = 256
+FINISH_EDGES = 2_000_000
+SENT_NODES = 2_000_000
 _MULTIPLIERS = np.random.default_rng(77).integers(0, 1 << 63, (SYMBOLS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _OFFSETS = np.random.default_rng(78).integers(0, 1 << 63, (SYMBOLS, 1), dtype=np.uint64)
 
@@ -239,10 +242,28 @@ def _in_block_pairs(rows: DataFrame, size: str, name: str, block: int) -> DataFr
     return x.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
 
 
+def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, comp) of all edges, in one task."""
+    union = _Union()
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            union.up.setdefault(a, a)
+            union.up.setdefault(b, b)
+            union.join(a, b)
+    nodes = list(union.up)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([union.find(x) for x in nodes], pa.int64())], names=["node", "comp"])
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, comp) for the nodes of ``edges`` (a, b): the smallest node reachable, in rounds until nothing changes."""
+    """(node, comp) for the nodes of ``edges`` (a, b), a written table: the smallest node reachable.
+
+    Up to ``FINISH_EDGES`` edges, counted first, are a bounded job for one task. More go in rounds of min-labels and
+    pointer jumps over written tables until nothing changes.
+    """
+    if edges.count() <= FINISH_EDGES:
+        return write_cut(edges.select("a", "b").coalesce(1).mapInArrow(_finish, "node long, comp long"), "labels")
     both = write_cut(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct(), "links")
-    label = write_cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp")), "labels")
+    label = write_cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("comp")), "labels")
     while True:
         near = both.join(label.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
         step = label.join(near, "node").select("node", "comp", F.least("comp", "near").alias("next"))
@@ -253,6 +274,13 @@ def components(edges: DataFrame) -> DataFrame:
             return label
 
 
+def _of_nodes(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, text) of the listed nodes (node, distinct, a written table). Up to ``SENT_NODES``, counted first, are sent to the texts; else the texts are shuffled."""
+    if nodes.count() <= SENT_NODES:
+        nodes = F.broadcast(nodes)
+    return docs.select(F.col("doc_id").alias("node"), "text").join(nodes, "node", "left_semi")
+
+
 class NearDuplicates:
     """shingle: words in a shingle; percent: links have 100 * intersection >= percent * union (80 or more)."""
 
@@ -283,7 +311,7 @@ class NearDuplicates:
         forest = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_near_in_blocks, "a long, b long").distinct()
         forest = write_cut(forest, "forest")
         if forest.limit(1).count():
-            links = links.union(self._within_families(docs, forest, comps))
+            links = write_cut(links.union(self._within_families(docs, forest, comps)), "all-links")
             comps = components(links)
         self.links, self.components = links, comps
 
@@ -291,8 +319,8 @@ class NearDuplicates:
         """Those of ``pairs`` (a, b) whose full shingle sets are alike enough. A node with many partners is dealt over salts of about FAN."""
         fan = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(FAN)).alias("fan"))
         salted = pairs.join(fan, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("fan")).cast("int"))
-        wanted = pairs.select("a").union(pairs.select("b")).distinct().select(F.col("a").alias("doc_id"))
-        texts = write_cut(docs.join(wanted, "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text"), "pair-texts")
+        wanted = write_cut(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "pair-nodes")
+        texts = write_cut(_of_nodes(docs, wanted), "pair-texts")
         others = salted.select("a", "salt", F.lit(1).alias("side"), F.col("b").alias("node")).join(texts, "node")
         owns = salted.select("a", "salt").distinct().select("a", "salt", F.lit(0).alias("side"), F.col("a").alias("node")).join(texts, "node")
         cols = ["a", "salt", "side", "node", "text"]
@@ -305,7 +333,7 @@ class NearDuplicates:
         alone = families.select(F.col("comp").alias("node"), "comp", "family").join(comps.select("node"), "node", "left_anti")
         members = write_cut(comps.join(families, "comp").select("node", "comp", "family").union(alone), "families")
         sized = members.join(members.groupBy("family").agg(F.count("*").alias("size")), "family")
-        texts = docs.select(F.col("doc_id").alias("node"), "text")
+        texts = _of_nodes(docs, members.select("node").distinct())
         rows = _in_block_pairs(sized, "size", "node", BLOCK).join(texts, "node").select("family", "i", "j", "block", "node", "comp", "text")
         rows = rows.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
         return write_cut(rows.mapInArrow(_family_links(self.shingle, self.percent), "a long, b long").distinct(), "family-links")

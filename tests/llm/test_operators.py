@@ -31,6 +31,16 @@ def test_near_duplicates(spark, docs, texts):
     assert rows[None].kept and rows[None].component_id is None and got.count() == len(texts) + 2
 
 
+def test_components_in_rounds_are_those_of_one_task(spark, monkeypatch):
+    r = np.random.default_rng(3)
+    edges = [(int(a), int(b)) for a, b in r.integers(0, 400, (250, 2))] + [(k, k + 1) for k in range(1000, 1060)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    one = {r.node: r.comp for r in minhash.components(df).collect()}
+    monkeypatch.setattr(minhash, "FINISH_EDGES", 0)
+    rounds = {r.node: r.comp for r in minhash.components(df).collect()}
+    assert all(one[n] == c for n, c in rounds.items()) and all(one[n] == n for n in set(one) - set(rounds)) and one[1060] == 1000
+
+
 def test_pairs_within_the_distance_share_a_key():
     r = np.random.default_rng(1)
     for _ in range(200):
