@@ -6,7 +6,7 @@ have equal anchors at equal places and only anchors that several documents share
 
 1. Every document's anchors (about one in 15 bytes) go by hash to tasks that stream them in order of hash and doc_id
    and give back those that two or more documents have.
-2. Each of these takes its context along, the up to 80 bytes that hold all windows over it. Contexts that repeat within
+2. Each of these takes its context along, the up to 80 bytes of all windows in which it is the smallest. Contexts that repeat within
    a batch are merged there: only the smallest doc_id's travels. By hash again, each task holds an index family for its
    part of the anchors: a batch of documents, in order of doc_id, gets a suffix array (its windows, sorted by their
    bytes, with the smallest doc_id of each), is merge-scanned against the levels so far, and becomes a level;
@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -114,6 +115,15 @@ def _shared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _CONTEXT = "h long, doc long, row long, pos int, size int, bytes binary"
 
 
+def _reach(h: np.ndarray, at: np.ndarray, least: np.ndarray, room: np.ndarray, way: int) -> np.ndarray:
+    """How many grams in a row next to each anchor, REACH and ``room`` at most, are not smaller than it."""
+    out, going = np.zeros(len(at), np.int64), np.ones(len(at), bool)
+    for k in range(1, REACH + 1):
+        going &= (k <= room) & (h[np.clip(at + way * k, 0, len(h) - 1)] >= least)
+        out += going
+    return out
+
+
 def _contexts(hot: np.ndarray):
     """Rows (doc, row, text, positions) become contexts, merged where they repeat within a batch (no bytes: a smaller document has it all)."""
 
@@ -133,9 +143,11 @@ def _contexts(hot: np.ndarray):
                 flat, r, room = flat[fine], r[fine], room[fine]
                 if not len(flat):
                     continue
-                h = h_all[flat + offsets[r] - offsets[i]].view(np.int64)
-                left, stop = np.minimum(flat, REACH), np.minimum(flat + LENGTH, room)
-                start = flat - left
+                at = flat + offsets[r] - offsets[i]
+                least = h_all[at]
+                start = flat - _reach(h_all, at, least, flat, -1)
+                stop = flat + _reach(h_all, at, least, room - GRAM - flat, 1) + GRAM
+                h = least.view(np.int64)
                 is_hot = np.isin(h, hot)
                 if is_hot.any():  # each window over the anchor on its own, under its own hash
                     again = np.repeat(np.flatnonzero(is_hot), np.maximum(0, stop - start - LENGTH + 1)[is_hot])
@@ -143,23 +155,21 @@ def _contexts(hot: np.ndarray):
                     w = start[again] + first
                     take = part[(w + offsets[r[again]] - offsets[i])[:, None] + np.arange(LENGTH)]
                     keys = np.array([int.from_bytes(hashlib.blake2b(x.tobytes(), digest_size=8).digest(), "little", signed=True) for x in take], np.int64)
-                    h, r, flat = np.concatenate([h[~is_hot], keys]), np.concatenate([r[~is_hot], r[again]]), np.concatenate([flat[~is_hot], w])
-                    left, start, stop = (np.concatenate([x[~is_hot], y]) for x, y in ((left, np.zeros(len(w), np.int64)), (start, w), (stop, w + LENGTH)))
+                    h, r = np.concatenate([h[~is_hot], keys]), np.concatenate([r[~is_hot], r[again]])
+                    start, stop = np.concatenate([start[~is_hot], w]), np.concatenate([stop[~is_hot], w + LENGTH])
                 size = stop - start
                 wide = size >= LENGTH
-                h, r, flat, left, start, size = (x[wide] for x in (h, r, flat, left, start, size))
+                h, r, start, size = (x[wide] for x in (h, r, start, size))
                 if not len(h):
                     continue
                 begin = start + offsets[r] - offsets[i]
-                order = np.argsort(doc[r], kind="stable")
                 seen: dict[tuple[int, bytes], int] = {}
-                whole = part.tobytes()
+                whole, ids = part.tobytes(), doc[r]
                 data: list[bytes] = [b""] * len(h)
-                for k in order.tolist():
-                    b = begin[k]
-                    x = whole[b : b + size[k]]
-                    d = doc[r[k]]
-                    if seen.setdefault((int(h[k]), int(left[k]), x), d) == d:
+                order = np.argsort(ids, kind="stable")
+                for k, key, from_, n, d in zip(order.tolist(), h[order].tolist(), begin[order].tolist(), size[order].tolist(), ids[order].tolist()):
+                    x = whole[from_ : from_ + n]
+                    if seen.setdefault((key, x), d) == d:
                         data[k] = x
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(h), pa.array(doc[r]), pa.array(row[r]), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(data, pa.binary())], names=["h", "doc", "row", "pos", "size", "bytes"]
@@ -192,6 +202,16 @@ class SuffixIndexFamily:
             self.levels.append(_distinct(np.concatenate([k1, k2]), np.concatenate([d1, d2])))
 
 
+def _suffix_array(windows: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct windows, the smallest doc of each, and each given window's place among them. docs ascend."""
+    order = np.argsort(windows, kind="stable")
+    ranked = windows[order]
+    first = np.concatenate([[True], ranked[1:] != ranked[:-1]])
+    place = np.empty(len(order), np.int64)
+    place[order] = np.cumsum(first) - 1
+    return ranked[first], docs[order][first], place
+
+
 def _distinct(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.lexsort((docs, keys))
     keys, docs = keys[order], docs[order]
@@ -238,9 +258,9 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n)
             windows = np.ascontiguousarray(raw[(offsets[k][who] + at)[:, None] + np.arange(LENGTH)]).view(f"S{LENGTH}").ravel()
             docs = doc[k][who]
-            keys, least = _distinct(windows, docs)
+            keys, least, place = _suffix_array(windows, docs)
             smallest = np.minimum(least, family.smallest(keys))
-            hit = smallest[np.searchsorted(keys, windows)] < docs
+            hit = smallest[place] < docs
             family.add(keys, least)
             who, at = who[hit], at[hit]
             if len(who):
@@ -296,9 +316,11 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of finished steps; their results are in written tables."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark's cleaner drop the shuffle files of finished steps now; their results are in written tables."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(1)
 
 
 def repeated_ranges(docs: DataFrame) -> DataFrame:
@@ -309,6 +331,7 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     spread = max(parts, docs.rdd.getNumPartitions())
     found = docs.mapInArrow(_anchor_rows, "h long, doc long, pos int").repartition(spread, "h").sortWithinPartitions("h", "doc")
     shared = write_cut(found.mapInArrow(_shared_rows, "h long, doc long, pos int"), "shared-anchors")
+    del found
     _release(spark)
     total = shared.count()
     hot = shared.groupBy("h").count().where(F.col("count") > max(HOT_ROWS, int(total * HOT))).select("h").collect()  # under 1 / HOT rows
@@ -317,6 +340,7 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     contexts = wide.mapInArrow(_contexts(np.array([r["h"] for r in hot], np.int64)), _CONTEXT)
     spread = max(parts, -(-total // ROWS_PER_TASK))
     ranges = write_cut(contexts.repartition(spread, "h").mapInArrow(_repeated, "doc long, row long, a int, b int"), "ranges")
+    del contexts, wide, places
     _release(spark)
     return ranges
 
