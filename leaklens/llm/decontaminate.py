@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import ascii_lower, let, write_cut
+from .common import ascii_lower, let, sent_if_few, write_cut
 
 WORD_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 MAX_BROADCAST_WINDOWS = 100_000
@@ -119,4 +119,4 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """``docs`` without the documents that hold a benchmark window, with all their columns."""
     bad = hits(docs, benchmark, window).where("n_hit > 0").select(F.col("doc_id").alias("bad_id"), F.col("text_key").alias("bad_key"), F.col("text_len").alias("bad_len")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("bad_id")) & (F.xxhash64("text") == F.col("bad_key")) & F.length("text").eqNullSafe(F.col("bad_len")), "left_anti")
+    return docs.join(sent_if_few(write_cut(bad, "bad")), F.col("doc_id").eqNullSafe(F.col("bad_id")) & (F.xxhash64("text") == F.col("bad_key")) & F.length("text").eqNullSafe(F.col("bad_len")), "left_anti")

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import write_cut
+from .common import sent_if_few, write_cut
 from .textops import each_slice, mix, shingle_sets
 
 CHUNKS, CHUNK, ALLOWED = 10, 4, 1
@@ -46,7 +46,6 @@ DISTANCE = CHUNKS * (ALLOWED + 1) - 1
 BLOCK = 1024
 FAN = 256
 FINISH_EDGES = 2_000_000
-SENT_NODES = 2_000_000
 _MULTIPLIERS = np.random.default_rng(77).integers(0, 1 << 63, (SYMBOLS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _OFFSETS = np.random.default_rng(78).integers(0, 1 << 63, (SYMBOLS, 1), dtype=np.uint64)
 
@@ -275,10 +274,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _of_nodes(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, text) of the listed nodes (node, distinct, a written table). Up to ``SENT_NODES``, counted first, are sent to the texts; else the texts are shuffled."""
-    if nodes.count() <= SENT_NODES:
-        nodes = F.broadcast(nodes)
-    return docs.select(F.col("doc_id").alias("node"), "text").join(nodes, "node", "left_semi")
+    """(node, text) of the listed nodes (node, distinct, a written table). Few, counted first, are sent to the texts; else the texts are shuffled."""
+    return docs.select(F.col("doc_id").alias("node"), "text").join(sent_if_few(nodes), "node", "left_semi")
 
 
 class NearDuplicates:
@@ -348,5 +345,5 @@ class NearDuplicates:
 
 def deduplicate(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` without the documents that are not the first of their component, with all their columns."""
-    gone = NearDuplicates(docs, shingle, percent).report().where("NOT kept").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    gone = write_cut(NearDuplicates(docs, shingle, percent).report().where("NOT kept").select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
+    return docs.join(sent_if_few(gone), docs["doc_id"] == gone["gone_id"], "left_anti")
