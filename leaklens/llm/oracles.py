@@ -42,15 +42,16 @@ FROM w LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)
 """
 
 OP7 = r"""
-WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
-p AS (SELECT doc_id, unnest(range(0, len(x) // 2 - 49)) AS p, x FROM t WHERE len(x) >= 100),
-w AS (SELECT doc_id, p, min(doc_id) OVER (PARTITION BY substr(x, 2 * p + 1, 100)) AS first FROM p),
+WITH t AS (SELECT doc_id, encode(coalesce(text, '')) AS x FROM documents),
+p AS (SELECT doc_id, unnest(range(0, octet_length(x) - 49)) AS p, unnest(list_transform(range(0, octet_length(x) - 49), lambda k: md5_number(x[k + 1 : k + 50]))) AS g FROM t WHERE octet_length(x) >= 50),
+f AS (SELECT g, min(doc_id) AS first FROM p GROUP BY g HAVING min(doc_id) < max(doc_id)),
+w AS (SELECT doc_id, p, first FROM p JOIN f USING (g)),
 d AS (SELECT doc_id, p, CASE WHEN lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50 >= p THEN 0 ELSE 1 END AS opens FROM w WHERE first < doc_id),
 i AS (SELECT doc_id, p, sum(opens) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM d),
 r AS (SELECT doc_id, k, min(p) AS a, max(p) + 50 AS b FROM i GROUP BY ALL),
 g AS (SELECT doc_id, a, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS prev, b FROM r),
-s AS (SELECT doc_id, sum(b - a) AS gone, count(*) AS spans, string_agg(substr(x, 2 * prev + 1, 2 * (a - prev)), '' ORDER BY a) || substr(any_value(x), 2 * max(b) + 1) AS left_x FROM g JOIN t USING (doc_id) GROUP BY doc_id)
-SELECT doc_id, (len(x) // 2)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(left_x, x))) AS kept_sha256
+s AS (SELECT doc_id, sum(b - a) AS gone, count(*) AS spans, string_agg(hex(x[prev + 1 : a]), '' ORDER BY a) || hex(any_value(x)[max(b) + 1 : octet_length(any_value(x))]) AS left_x FROM g JOIN t USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, octet_length(x)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(left_x, hex(x)))) AS kept_sha256
 FROM t LEFT JOIN s USING (doc_id)
 """
 
