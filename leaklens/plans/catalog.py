@@ -141,12 +141,15 @@ def _placeholder_sql(x: str) -> str:
 # --- lines, rules, findings -------------------------------------------------------------------------------------------
 
 
-@query(f"WITH {DOC_LINES}, {MATCHES}, {DEDUP} SELECT source, count(*) AS n_findings, count(DISTINCT path) AS n_files, count(*) FILTER ({_SENTINEL} IS NOT NULL) AS n_dismissed, min({_preview_sql('match')}) AS first_preview FROM f JOIN documents ON request_id = doc_id::VARCHAR GROUP BY source")
+@query(f"WITH {DOC_LINES}, {MATCHES}, {DEDUP} SELECT source, count(DISTINCT doc_id) AS n_documents, count(id) AS n_findings, count(DISTINCT path) AS n_files, count(*) FILTER (id IS NOT NULL AND {_SENTINEL} IS NOT NULL) AS n_dismissed, min(CASE WHEN id IS NOT NULL THEN {_preview_sql('match')} END) AS first_preview FROM documents LEFT JOIN f ON request_id = doc_id::VARCHAR GROUP BY source")
 def leaks_by_source(spark, sf_dir):
-    """Which sources leak which redacted secrets: the flagship."""
+    """Which sources leak which redacted secrets, and how many of their documents there are: the flagship."""
     found = detect.short_circuit(findings(spark, sf_dir)).withColumn("shown", T.preview(F.col("match")))
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("string").alias("request_id"), "source")
-    return docs.join(found, "request_id").groupBy("source").agg(F.count("*").alias("n_findings"), F.count_distinct("path").alias("n_files"), F.count_if(F.col("verdict") == "dismissed").alias("n_dismissed"), F.min("shown").alias("first_preview"))
+    by_file = found.groupBy("request_id").agg(F.count("*").alias("n"), F.count_if(F.col("verdict") == "dismissed").alias("d"), F.min("shown").alias("shown"))
+    return docs.join(by_file, "request_id", "left").groupBy("source").agg(
+        F.count("*").alias("n_documents"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_findings"), F.count("n").alias("n_files"), F.coalesce(F.sum("d"), F.lit(0)).alias("n_dismissed"), F.min("shown").alias("first_preview")
+    )
 
 
 @query(f"WITH {DOC_LINES} SELECT request_id, count(*) AS n_lines, sum(strlen(text))::BIGINT AS n_bytes, max(line) AS last_line FROM lines GROUP BY request_id")
