@@ -64,8 +64,8 @@ MAX_FINDINGS = 200
 MIN_WINDOW_TOKENS = 256
 MAX_WINDOWS = 48
 MIN_GROUNDED_BYTES = 6
-WINDOW_HEADER = "# file: "
-GAP_REASON = "no verdict was returned for this finding"
-UNSEEN_REASON = "not reviewed"
+WINDOW_HEADER = "=== "
+GAP_REASON = "model returned no verdict for this finding"
+UNSEEN_REASON = "no verdict produced for this finding"
 
 # --- end of fixed values ----------------------------------------------------------------------------------------------

@@ -74,4 +74,4 @@ def merge_response(findings: DataFrame, decided: DataFrame, on_truncate: str = "
     missing = "confirmed" if on_truncate == "compat_confirmed" else "unreviewed"
     d = decided.select("request_id", "id", F.col("verdict").alias("dv"), F.col("confidence").alias("dc"), F.col("reason").alias("dr"))
     keep = [c for c in findings.columns if c not in ("verdict", "confidence", "reason")]
-    return findings.join(d, ["request_id", "id"], "left").select(*keep, F.coalesce("dv", F.lit(missing)).alias("verdict"), F.coalesce("dc", F.lit(0.0)).alias("confidence"), F.coalesce("dr", F.lit("")).alias("reason"))
+    return findings.join(d, ["request_id", "id"], "left").select(*keep, F.coalesce("dv", F.lit(missing)).alias("verdict"), F.coalesce("dc", F.lit(0.0)).alias("confidence"), F.coalesce("dr", F.when(F.col("dv").isNull(), F.lit(C.UNSEEN_REASON)).otherwise(F.lit(""))).alias("reason"))
