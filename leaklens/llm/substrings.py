@@ -39,7 +39,7 @@ from .textops import _BYTE_CODE, _powers_to, mix, slices, text_bytes
 LENGTH, GRAM = 50, 20
 REACH = LENGTH - GRAM
 HOT, HOT_ROWS = 1 / 1000, 50_000
-ROWS_PER_TASK = 400_000
+ROWS_PER_TASK = 100_000
 BATCH = 100_000
 
 
@@ -92,7 +92,7 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _shared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (h, doc), those whose h has two docs or more. Only the first doc's rows of the last h are held."""
+    """Of rows sorted by (h, doc), those whose h has two docs or more, with its upper half. Only the first doc's rows of the last h are held."""
     none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32))
     held, open_h, known = none, None, False
     for batch in batches:
@@ -109,10 +109,10 @@ def _shared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_h, known = h[-1], bool(multi[-1])
         held = none if known else (h[first[-1] :], doc[first[-1] :], pos[first[-1] :])
         if keep.any():
-            yield pa.RecordBatch.from_arrays([pa.array(h[keep]), pa.array(doc[keep]), pa.array(pos[keep])], names=["h", "doc", "pos"])
+            yield pa.RecordBatch.from_arrays([pa.array((h[keep] >> 32).astype(np.int32)), pa.array(doc[keep]), pa.array(pos[keep])], names=["half", "doc", "pos"])
 
 
-_CONTEXT = "h long, doc long, row long, pos int, size int, bytes binary"
+_CONTEXT = "h long, doc long, row int, pos int, size int, bytes binary"
 
 
 def _reach(h: np.ndarray, at: np.ndarray, least: np.ndarray, room: np.ndarray, way: int) -> np.ndarray:
@@ -148,7 +148,7 @@ def _contexts(hot: np.ndarray):
                 start = flat - _reach(h_all, at, least, flat, -1)
                 stop = flat + _reach(h_all, at, least, room - GRAM - flat, 1) + GRAM
                 h = least.view(np.int64)
-                is_hot = np.isin(h, hot)
+                is_hot = np.isin(h >> 32, hot)
                 if is_hot.any():  # each window over the anchor on its own, under its own hash
                     again = np.repeat(np.flatnonzero(is_hot), np.maximum(0, stop - start - LENGTH + 1)[is_hot])
                     first = np.concatenate([np.arange(max(0, b - a - LENGTH + 1)) for a, b in zip(start[is_hot], stop[is_hot])]).astype(np.int64)
@@ -283,7 +283,7 @@ def _binary(a: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _ranges(doc, row, start, stop) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(row, pa.int64()), pa.array(np.asarray(start, np.int32)), pa.array(np.asarray(stop, np.int32))], names=["doc", "row", "a", "b"])
+    return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(row, pa.int32()), pa.array(np.asarray(start, np.int32)), pa.array(np.asarray(stop, np.int32))], names=["doc", "row", "a", "b"])
 
 
 def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -324,22 +324,22 @@ def _release(spark: SparkSession) -> None:
 
 
 def repeated_ranges(docs: DataFrame) -> DataFrame:
-    """(doc, row, a, b): byte ranges of texts (row: xxhash64 of the text) that documents with smaller doc_ids have too."""
+    """(doc, row, a, b): byte ranges of texts (row: a hash of the text, to tell texts under one doc_id apart) that documents with smaller doc_ids have too."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").where("doc_id IS NOT NULL AND octet_length(text) >= " + str(LENGTH))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     spread = max(parts, docs.rdd.getNumPartitions())
     found = docs.mapInArrow(_anchor_rows, "h long, doc long, pos int").repartition(spread, "h").sortWithinPartitions("h", "doc")
-    shared = write_cut(found.mapInArrow(_shared_rows, "h long, doc long, pos int"), "shared-anchors")
+    shared = write_cut(found.mapInArrow(_shared_rows, "half int, doc long, pos int"), "shared-anchors")
     del found
     _release(spark)
     total = shared.count()
-    hot = shared.groupBy("h").count().where(F.col("count") > max(HOT_ROWS, int(total * HOT))).select("h").collect()  # under 1 / HOT rows
+    hot = shared.groupBy("half").count().where(F.col("count") > max(HOT_ROWS, int(total * HOT))).select("half").collect()  # under 1 / HOT rows
     places = shared.groupBy("doc").agg(F.collect_list("pos").alias("at"))  # a document's anchors: bounded by its length
-    wide = docs.withColumn("row", F.xxhash64("text")).join(places, "doc").select("doc", "row", "text", "at")
-    contexts = wide.mapInArrow(_contexts(np.array([r["h"] for r in hot], np.int64)), _CONTEXT)
+    wide = docs.withColumn("row", F.hash("text")).join(places, "doc").select("doc", "row", "text", "at")
+    contexts = wide.mapInArrow(_contexts(np.array([r["half"] for r in hot], np.int64)), _CONTEXT)
     spread = max(parts, -(-total // ROWS_PER_TASK))
-    ranges = write_cut(contexts.repartition(spread, "h").mapInArrow(_repeated, "doc long, row long, a int, b int"), "ranges")
+    ranges = write_cut(contexts.repartition(spread, "h").mapInArrow(_repeated, "doc long, row int, a int, b int"), "ranges")
     del contexts, wide, places
     _release(spark)
     return ranges
@@ -348,6 +348,6 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """The contract's columns, one row per row of ``docs``."""
     ranges = repeated_ranges(docs).groupBy("doc", "row").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
-    wide = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("own"))
+    wide = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.hash("text").alias("own"))
     wide = wide.join(ranges, (wide["doc_id"] == ranges["doc"]) & (wide["own"] == ranges["row"]), "left").select("doc_id", "text", "ranges")
     return wide.mapInArrow(_kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
