@@ -1,18 +1,23 @@
 """Operator 8: language-model scoring with a weighted backoff automaton.
 
-Counts cover the whole training part of the corpus. Every token's count is kept in a written table. An n-gram (up to
-``ORDER`` tokens) becomes a state or an arc if its count is at least ``RATE`` of all training tokens, so that there are
-at most 1 / RATE of each order whatever the corpus: that is the proven bound of what is sent to the workers. N-grams are
-counted order by order, among those whose parts are frequent (no frequent n-gram has a rare part).
+Counts cover the whole training part of the corpus, for every order: each token counts, and each bigram and trigram seen
+``LEAST`` times or more is an arc, whatever the corpus' size.
 
 The automaton: a state is a history; an arc (state, token) has the discounted probability (count - DISCOUNT) / count of
 the history, and leads to the longest history that is a state; a failure arc leads to the next shorter history with the
 weight that makes the state's probabilities sum to one. At the root a token has the base estimate
-(c + 1) / (N + V + 1), frequent or not. One left-to-right traversal of a text carries the state and adds up log10
-probabilities; each text starts in the state of the token ``end``. Tokens that are no root arcs of the automaton leave
-it at the root; their counts come by a join of (row, token) with the table of all counts, summed by row.
+(c + 1) / (N + V + 1), seen or not. Each text starts in the state of the token ``end``; its score is the sum of the log10
+probabilities along its traversal.
 
-Words are 64-bit hashes of their bytes, which for a vocabulary of a billion words collide with odds of about 3 %.
+Up to ``WHOLE`` tokens the automaton is sent to the workers, which walk it from left to right. In a larger corpus nothing
+that grows is sent (``_looked_up``). The state before a token is the longest suffix of its history that has arcs, so
+the walk's arcs and failures at a token are those of its trigram, bigram and unigram and of its two histories. Texts are
+cut into written blocks. A block asks for the counts of its distinct n-grams, packed by ranges of their hashes; each
+range adds up what the blocks have and answers every block. The first block that has an arc adds it to its history's
+sums, and the histories' failure weights come back the same way. Then each block is scored with what it was told.
+
+Words are 64-bit hashes of their bytes, which for a vocabulary of a billion words collide with odds of about 3 %; bigrams
+and trigrams are 64-bit hashes too, each order for itself.
 
 Edge cases: a null, empty or wordless text is the token end alone; without training rows N = V = 0 and every token has
 probability 1; a null doc_id is a training row and not held out; repeated rows count and are scored as often as they
@@ -26,16 +31,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from .common import write_cut
-from .textops import each_slice
+from .substrings import _release
+from .textops import each_slice, mix, slices
 
 ORDER = 3
-RATE = 1e-6
+LEAST = 2
+WHOLE = 1_000_000
 DISCOUNT = 0.5
 BITS = 20
 FLUSH = 1 << 22
+BLOCK = 6 << 20
+RANGE = 8 << 20
+STEP = np.uint64(0xD6E8FEB86659FD93)
 END = np.uint64(0x5BF03635DC2F96E1)
 
 
@@ -71,7 +83,7 @@ def _unigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Frequent:
-    """The frequent n-grams by order. words: sorted token hashes, a token's id is its place; keys[n]: sorted packed ids."""
+    """The n-grams that are arcs, by order. words: sorted token hashes, a token's id is its place; keys[n]: sorted packed ids."""
 
     def __init__(self, words: np.ndarray, counts: np.ndarray):
         self.words, self.keys, self.counts = words, {1: np.arange(len(words), dtype=np.int64)}, {1: counts}
@@ -251,36 +263,302 @@ def _score(shared, total: int, vocabulary: int):
 
 
 def fit(texts: DataFrame) -> tuple[DataFrame, Frequent, int, int]:
-    """texts: the training texts. The table of all counts (h, c), the frequent n-grams, N and V."""
+    """texts: the training texts, of ``WHOLE`` tokens at most. The table of all counts (h, c), the n-grams, N and V."""
     unigrams = write_cut(texts.mapInArrow(_unigrams, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "unigrams")
     total, vocabulary = unigrams.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    least = max(1.0, RATE * total)
-    rows = unigrams.where(F.col("c") >= least).toPandas()  # at most 1 / RATE rows
+    rows = unigrams.toPandas()
     h, c = rows["h"].to_numpy(np.int64).view(np.uint64), rows["c"].to_numpy(np.int64)
     order = np.argsort(h)
     frequent = Frequent(h[order], c[order])
     for n in range(2, ORDER + 1):
         grams = texts.mapInArrow(_ngrams(frequent, n), "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
-        rows = grams.where(F.col("c") >= max(2.0, least)).toPandas()  # at most 1 / RATE rows
+        rows = grams.where(F.col("c") >= LEAST).toPandas()
         order = np.argsort(rows["h"].to_numpy(np.int64))
         frequent.keys[n], frequent.counts[n] = rows["h"].to_numpy(np.int64)[order], rows["c"].to_numpy(np.int64)[order]
     return unigrams, frequent, int(total), int(vocabulary)
 
 
+def _walked(rows: DataFrame) -> DataFrame:
+    """Scores of a small corpus by the automaton, sent whole. rows: doc_id, held_out, text."""
+    _, frequent, total, vocabulary = fit(rows.where(~F.col("held_out")).select("text"))
+    shared = rows.sparkSession.sparkContext.broadcast(frequent)
+    walked = rows.mapInArrow(_score(shared, total, vocabulary), "doc_id long, held_out boolean, n_tokens long, n_head long, base double, walk double, tail array<long>")
+    tail = F.size("tail") * F.lit(float(np.log10(total + vocabulary + 1)))  # tokens of held-out texts that no training text has
+    return walked.select("doc_id", "held_out", "n_tokens", F.col("n_head").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base") - tail).alias("base_score"), (F.col("walk") - tail).alias("score"))
+
+
+# --- any size: counts and failure weights are looked up ---------------------------------------------------------------
+
+_MESSAGE = "block long, bucket int, h binary, x binary, y binary"
+_ANSWER = "block long, bucket int, x binary, n long, v long"
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows as compressed blocks of about ``BLOCK`` bytes of text, under numbers of their own."""
+    number = TaskContext.get().partitionId() << 32
+    held, size = [], 0
+
+    def flush():
+        nonlocal number
+        rows = pa.Table.from_batches(held).combine_chunks()
+        sizes = rows["text"].combine_chunks().fill_null("")
+        sizes = pa.compute.binary_length(sizes).to_numpy(zero_copy_only=False).astype(np.int64)
+        for i, j in slices(np.concatenate([[0], np.cumsum(sizes)]), BLOCK):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_table(rows.slice(i, j - i))
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "x"])
+            number += 1
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.column(2).nbytes
+        if size >= BLOCK:
+            yield from flush()
+            held, size = [], 0
+    if held:
+        yield from flush()
+
+
+def _squeezed(values: np.ndarray) -> bytes:
+    return pa.compress(np.ascontiguousarray(values).tobytes(), codec="zstd", asbytes=True)
+
+
+def _spread_out(raw: bytes, kind, n: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(raw, decompressed_size=n * np.dtype(kind).itemsize, codec="zstd", asbytes=True), kind) if n else np.zeros(0, kind)
+
+
+def _pack(h: np.ndarray, base: int) -> bytes:
+    """Sorted hashes of a range as steps of as few bytes as the longest needs."""
+    steps = np.diff(h, prepend=np.array([base], np.uint64))
+    width = max(1, (int(steps.max()).bit_length() + 7) // 8)
+    return bytes([width]) + steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def _unpack(raw: bytes, base: int) -> np.ndarray:
+    body = np.frombuffer(raw, np.uint8, offset=1).reshape(-1, raw[0])
+    steps = np.zeros((len(body), 8), np.uint8)
+    steps[:, : raw[0]] = body
+    return np.cumsum(steps.view("<u8").ravel().astype(np.uint64), dtype=np.uint64) + np.uint64(base)
+
+
+def _base(bucket: int, bits: int) -> int:
+    return (bucket & ((1 << bits) - 1)) << (64 - bits)
+
+
+def _messages(block: int, bits: int, parts: list[tuple[int, np.ndarray, np.ndarray, np.ndarray | None]]) -> pa.Table:
+    """A row for each range of hashes. parts: order, sorted hashes, and one or two values of each."""
+    out: dict[str, list] = {"block": [], "bucket": [], "h": [], "x": [], "y": []}
+    for n, h, x, y in parts:
+        which = (h >> np.uint64(64 - bits)).astype(np.int64)
+        cuts = np.flatnonzero(np.diff(which, prepend=-1))
+        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(h)]):
+            bucket = n << bits | int(which[a])
+            out["block"].append(block)
+            out["bucket"].append(bucket)
+            out["h"].append(_pack(h[a:b], _base(bucket, bits)))
+            out["x"].append(_squeezed(x[a:b]))
+            out["y"].append(None if y is None else _squeezed(y[a:b]))
+    return pa.table(out, pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("h", pa.binary()), ("x", pa.binary()), ("y", pa.binary())]))
+
+
+class Block:
+    """The n-grams of a block. of[n]: its sorted distinct n-gram hashes; at[n]: the place there of the n-gram that ends at a position, or -1."""
+
+    def __init__(self, payload: bytes):
+        with pa.ipc.open_stream(payload) as stream:
+            self.rows = stream.read_all().combine_chunks()
+        tokens, lengths = [], []
+        for _, got, bounds in token_rows(self.rows["text"]):
+            tokens.append(got)
+            lengths.append(np.diff(bounds))
+        self.n_tokens = np.concatenate(lengths)
+        flat = np.concatenate(tokens)
+        bounds = np.concatenate([[0], np.cumsum(self.n_tokens)])
+        self.start = bounds[:-1] + np.arange(len(self.n_tokens))  # the token end put before each row
+        size = len(flat) + len(self.n_tokens)
+        self.token = np.ones(size, bool)
+        self.token[self.start] = False
+        t = np.full(size, END, np.uint64)
+        t[self.token] = flat
+        self.row = np.repeat(np.arange(len(self.n_tokens)), self.n_tokens + 1)
+        second = self.token.copy()
+        second[self.start + 1] = False  # the first token of a row ends no trigram
+        self.ends = {1: np.ones(size, bool), 2: self.token, 3: second}
+        self.of, self.at, self.first = {}, {}, {}
+        keys = t
+        with np.errstate(over="ignore"):
+            for n in range(1, ORDER + 1):
+                if n > 1:
+                    keys = mix(np.concatenate([keys[:1], keys[:-1]]) * STEP + t + np.uint64(n))
+                places = np.flatnonzero(self.ends[n])
+                self.of[n], first, inverse = np.unique(keys[places], return_index=True, return_inverse=True)
+                self.at[n] = np.full(size, -1, np.int64)
+                self.at[n][places] = inverse
+                self.first[n] = places[first]
+
+    def asked(self, block: int, bits: int) -> pa.Table:
+        train = ~self.rows["held_out"].to_numpy(zero_copy_only=False)[self.row] & self.token
+        return _messages(block, bits, [(n, self.of[n], np.bincount(self.at[n][train & self.ends[n]], minlength=len(self.of[n])).astype(np.uint32), None) for n in range(1, ORDER + 1)])
+
+    def told(self, answers: list[tuple[int, bytes]], bits: int) -> None:
+        """Takes the counts: c[n], and own[n] for the n-grams that this block adds to their histories' sums."""
+        self.c, self.own = {}, {}
+        for n, got in self._arrays(answers, bits, self.of, np.int64).items():
+            self.c[n], self.own[n] = got >> 1, (got & 1).astype(bool)
+
+    @staticmethod
+    def _arrays(answers: list[tuple[int, bytes]], bits: int, of: dict[int, np.ndarray], kind) -> dict[int, np.ndarray]:
+        raw, out = dict(answers), {}
+        for n, h in of.items():
+            buckets, sizes = np.unique((h >> np.uint64(64 - bits)).astype(np.int64), return_counts=True)
+            out[n] = np.concatenate([np.zeros(0, kind), *[_spread_out(raw[n << bits | b], kind, k) for b, k in zip(buckets.tolist(), sizes.tolist())]])
+        return out
+
+    def histories(self, scale: float) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Of the unigrams and bigrams whose failure weight is asked or added to: places in of[n], and the sums of their arcs' and of the shorter histories' probabilities."""
+        out = {}
+        for n in (1, 2):
+            arc = self.own[n + 1] & (self.c[n + 1] >= LEAST)
+            p = self.first[n + 1][arc]  # where such an arc ends
+            count, history = self.c[n + 1][arc], self.at[n][p - 1]
+            prob = (count - DISCOUNT) / np.maximum(self.c[n][history], count)
+            if n == 1:
+                lower = (self.c[1][self.at[1][p]] + 1.0) / scale
+            else:
+                shorter = self.c[2][self.at[2][p]]
+                lower = (shorter - DISCOUNT) / np.maximum(self.c[1][self.at[1][p - 1]], shorter)
+            size = len(self.of[n])
+            missed = np.flatnonzero(self.ends[n + 1])
+            missed = missed[self.c[n + 1][self.at[n + 1][missed]] < LEAST] - 1
+            wanted = np.zeros(size, bool)
+            wanted[self.at[n][missed]] = True
+            wanted &= self.c[n] >= LEAST
+            wanted[history] = True
+            at = np.flatnonzero(wanted)
+            out[n] = at, np.bincount(history, prob, size)[at], np.bincount(history, lower, size)[at]
+        return out
+
+    def scored(self, answers: list[tuple[int, bytes]], bits: int, total: int, vocabulary: int) -> pa.Table:
+        scale = np.log10(total + vocabulary + 1)
+        asked = self.histories(float(total + vocabulary + 1))
+        got = self._arrays(answers, bits, {n: self.of[n][asked[n][0]] for n in asked}, np.float64)
+        back = {n: np.zeros(len(self.of[n])) for n in asked}
+        for n in asked:
+            back[n][asked[n][0]] = got[n]
+        p = np.flatnonzero(self.token)
+        c1, c2, before = self.c[1][self.at[1][p]], self.c[2][self.at[2][p]], self.c[1][self.at[1][p - 1]]
+        base = np.log10(c1 + 1.0) - scale
+        with np.errstate(divide="ignore", invalid="ignore"):
+            score = np.where(c2 >= LEAST, np.log10((c2 - DISCOUNT) / np.maximum(before, c2)), back[1][self.at[1][p - 1]] + base)
+            third = self.ends[3][p]
+            q = p[third]
+            c3, pair = self.c[3][self.at[3][q]], self.at[2][q - 1]
+            score[third] = np.where(c3 >= LEAST, np.log10((c3 - DISCOUNT) / np.maximum(self.c[2][pair], c3)), back[2][pair] + score[third])
+        row, n = self.row[p], len(self.n_tokens)
+        add = lambda x: np.bincount(row, x, n)
+        return pa.table(
+            [self.rows["doc_id"], self.rows["held_out"], pa.array(self.n_tokens, pa.int64()), pa.array(add(c1 > 0).astype(np.int64)), pa.array(np.full(n, total, np.int64)), pa.array(add(base)), pa.array(add(score))],
+            names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+        )
+
+
+def _answers(rows: pa.Table, answers: list[np.ndarray], summary: tuple[int, int] | None) -> pa.Table:
+    blocks, buckets = rows["block"].to_pylist(), rows["bucket"].to_pylist()
+    data, n, v = [_squeezed(x) for x in answers], [None] * len(blocks), [None] * len(blocks)
+    if summary:
+        blocks, buckets, data, n, v = [*blocks, None], [*buckets, buckets[0]], [*data, None], [*n, summary[0]], [*v, summary[1]]
+    return pa.table([pa.array(blocks, pa.int64()), pa.array(buckets, pa.int32()), pa.array(data, pa.binary()), pa.array(n, pa.int64()), pa.array(v, pa.int64())], names=["block", "bucket", "x", "n", "v"])
+
+
+def _range(rows: pa.Table, bits: int) -> tuple[int, list[int], np.ndarray, np.ndarray]:
+    """The order, where each block's part ends, the distinct hashes and the place of each among them."""
+    bucket = rows["bucket"][0].as_py()
+    parts = [_unpack(h, _base(bucket, bits)) for h in rows["h"].to_pylist()]
+    distinct, inverse = np.unique(np.concatenate(parts), return_inverse=True)
+    return bucket >> bits, np.cumsum([len(x) for x in parts])[:-1].tolist(), distinct, inverse
+
+
+def _added(bits: int):
+    """Counts of the n-grams in a range of hashes, to all blocks: count * 2, and 1 more at the first block that trains on it. An n-gram under LEAST is no arc and told as 0."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        order, cuts, distinct, inverse = _range(rows, bits)
+        lengths = np.diff([0, *cuts, len(inverse)]).tolist()
+        own = np.concatenate([_spread_out(x, np.uint32, k) for x, k in zip(rows["x"].to_pylist(), lengths)]).astype(np.int64)
+        count = np.bincount(inverse, own, len(distinct)).astype(np.int64)
+        trains = np.flatnonzero(own)
+        _, first = np.unique(inverse[trains], return_index=True)
+        summary = (int(count.sum()), int((count > 0).sum())) if order == 1 else None
+        if order > 1:
+            count[count < LEAST] = 0
+        told = count[inverse] * 2
+        told[trains[first]] |= 1
+        return _answers(rows, np.split(told, cuts), summary)
+
+    return run
+
+
+def _weights(bits: int):
+    """Failure weights of the histories in a range of hashes, to all blocks that ask; 0 for one without arcs."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        _, cuts, distinct, inverse = _range(rows, bits)
+        lengths = np.diff([0, *cuts, len(inverse)]).tolist()
+        sums = [np.bincount(inverse, np.concatenate([_spread_out(x, np.float64, k) for x, k in zip(rows[name].to_pylist(), lengths)]), len(distinct)) for name in ("x", "y")]
+        back = np.where(sums[0] > 0, np.log10(np.maximum(1e-9, 1 - sums[0]) / np.maximum(1e-9, 1 - sums[1])), 0.0)
+        return _answers(rows, np.split(back[inverse], cuts), None)
+
+    return run
+
+
+def _told_block(rows: pa.Table, bits: int) -> tuple[int, Block, list[tuple[int, bytes]]]:
+    """rows of one block: its texts (kind 0), counts (1) and weights (2)."""
+    kinds, buckets, data = rows["kind"].to_pylist(), rows["bucket"].to_pylist(), rows["x"].to_pylist()
+    block = Block(next(x for k, x in zip(kinds, data) if k == 0))
+    block.told([(b, x) for k, b, x in zip(kinds, buckets, data) if k == 1], bits)
+    return rows["block"][0].as_py(), block, [(b, x) for k, b, x in zip(kinds, buckets, data) if k == 2]
+
+
+def _looked_up(rows: DataFrame, size: int) -> DataFrame:
+    """Scores of a corpus of any size; rows: doc_id, held_out, text; size: bytes of text."""
+    bits = max(1, (size // RANGE).bit_length())  # so many ranges that each has about RANGE bytes' n-grams
+    spark = rows.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, size // RANGE)
+    by = lambda df, key: df.repartition(parts, key).groupBy(key)
+    blocks = write_cut(rows.mapInArrow(_blocks, "block long, x binary"), "blocks")
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, payload in zip(batch.column(0).to_pylist(), batch.column(1)):
+                yield from Block(payload.as_py()).asked(number, bits).to_batches()
+
+    counts = write_cut(by(blocks.mapInArrow(ask, _MESSAGE), "bucket").applyInArrow(_added(bits), _ANSWER), "counts")
+    _release(spark)
+    total, vocabulary = map(int, counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first())
+    scale = float(total + vocabulary + 1)
+    kind = lambda df, k: df.select("block", F.lit(k).alias("kind"), (F.lit(-1) if k == 0 else F.col("bucket")).alias("bucket"), "x")
+    known = kind(blocks, 0).unionByName(kind(counts.where("block IS NOT NULL"), 1))
+
+    def ask_weights(rows: pa.Table) -> pa.Table:
+        number, block, _ = _told_block(rows, bits)
+        return _messages(number, bits, [(n, block.of[n][at], x, y) for n, (at, x, y) in block.histories(scale).items() if len(at)])
+
+    def score_block(rows: pa.Table) -> pa.Table:
+        _, block, weights = _told_block(rows, bits)
+        return block.scored(weights, bits, total, vocabulary)
+
+    weights = write_cut(by(by(known, "block").applyInArrow(ask_weights, _MESSAGE), "bucket").applyInArrow(_weights(bits), _ANSWER), "weights")
+    _release(spark)
+    return by(known.unionByName(kind(weights, 2)), "block").applyInArrow(score_block, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+
 def score(docs: DataFrame) -> DataFrame:
     """The contract's columns, one row per row of ``docs``."""
-    spark = docs.sparkSession
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
-    unigrams, frequent, total, vocabulary = fit(docs.where(~held_out).select("text"))
-    shared = spark.sparkContext.broadcast(frequent)
-    walked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), "text").mapInArrow(
-        _score(shared, total, vocabulary), "doc_id long, held_out boolean, n_tokens long, n_head long, base double, walk double, tail array<long>"
-    )
-    walked = write_cut(walked.withColumn("row", F.monotonically_increasing_id()), "walked")
-    scale = float(np.log10(total + vocabulary + 1))
-    rare = walked.select("row", F.explode("tail").alias("h")).join(unigrams, "h").groupBy("row").agg(F.count("*").alias("n_rare"), F.sum(F.log10(F.col("c") + 1)).alias("rare"))
-    out = walked.select("row", "doc_id", "held_out", "n_tokens", "n_head", "base", "walk", F.size("tail").alias("n_tail")).join(rare, "row", "left")
-    tail = F.coalesce("rare", F.lit(0.0)) - F.col("n_tail") * F.lit(scale)
-    return out.select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_head") + F.coalesce("n_rare", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + tail).alias("base_score"), (F.col("walk") + tail).alias("score")
-    )
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), "text")
+    size, n = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
+    most = (size + n) // 2 + n  # words are a byte and a space at least, and each row has the token end
+    out = _walked(rows) if most <= WHOLE else _looked_up(rows, size)
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")

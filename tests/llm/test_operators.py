@@ -290,6 +290,53 @@ def test_automaton_probabilities_sum_to_one(spark):
         assert abs(mass - 1) < 1e-6
 
 
+def test_rare_ngrams_count_in_large_corpora(spark):
+    filler = " ".join(["x y z x x"] * 40_000)
+    rare = "words that come twice"
+    rows = [(k, filler) for k in range(14)] + [(100 + k, f"{rare} pair{k // 2} of{k // 2} x y{k // 2} only{k} here") for k in range(12)] + [(200, None), (201, "x"), (None, rare)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    train, seqs = [Counter(), Counter(), Counter()], []
+    for i, t in rows:
+        w = [None, *brute.words(t or ""), None]
+        seqs.append((i, w))
+        if brute.crc(i, 7) != 2:
+            for n in (1, 2, 3):
+                train[n - 1].update(zip(*[w[(1 if n == 1 else 0) + k :] for k in range(n)]))
+    c1, c2, c3 = train
+    assert sum(c1.values()) > 2_000_000
+    n_v = sum(c1.values()) + len(c1) + 1
+    p1 = lambda w: (c1[w,] + 1) / n_v
+    arcs2, arcs3 = {g: c for g, c in c2.items() if c >= 2}, {g: c for g, c in c3.items() if c >= 2}
+    p2 = lambda v, w: (arcs2[v, w] - 0.5) / max(c1[v,], arcs2[v, w])
+    left, below = Counter(), Counter()
+    for (v, w), c in arcs2.items():
+        left[v,] += p2(v, w)
+        below[v,] += p1(w)
+    for (u, v, w), c in arcs3.items():
+        left[u, v] += (c - 0.5) / c2[u, v]
+        below[u, v] += p2(v, w)
+    back = lambda h: math.log10(max(1e-9, 1 - left[h]) / max(1e-9, 1 - below[h])) if h in left else 0.0
+
+    def one(w, k):
+        a, b, c = (w[k - 2] if k > 1 else 0), w[k - 1], w[k]
+        if k > 1 and (a, b, c) in arcs3:
+            return math.log10((arcs3[a, b, c] - 0.5) / c2[a, b])
+        low = math.log10(p2(b, c)) if (b, c) in arcs2 else back((b,)) + math.log10(p1(c))
+        return (back((a, b)) if k > 1 else 0.0) + low
+
+    want = sorted((str(i), round(sum(one(w, k) for k in range(1, len(w))), 3)) for i, w in seqs if len(w) < 100)
+    got = sorted((str(r.doc_id), round(r.score, 3)) for r in lm.score(df).collect() if r.n_tokens < 100)
+    assert got == want
+
+
+def test_looked_up_scores_are_those_of_the_automaton(spark, docs, nothing, monkeypatch):
+    monkeypatch.setattr(lm, "BLOCK", 2000)
+    walked = sorted((str(r.doc_id), r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in lm.score(docs).collect())
+    monkeypatch.setattr(lm, "WHOLE", -1)
+    looked = sorted((str(r.doc_id), r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in lm.score(docs).collect())
+    assert looked == walked and lm.score(nothing).count() == 0
+
+
 # 9
 
 
