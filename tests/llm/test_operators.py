@@ -366,6 +366,20 @@ def test_cycles_end_and_bombs_stay():
     assert secrets.find_secrets(bomb)[1] == [] and secrets.find_secrets("%2525252541" * 50) is not None
 
 
+def test_encoded_values_after_marks_and_over_lines():
+    import base64
+    import gzip
+
+    secret = 'password: "hunter2hunter2hunter2"'
+    plain = base64.b64encode(secret.encode()).decode()
+    noise = " ".join(hashlib.sha256(str(k).encode()).hexdigest()[:9].upper() for k in range(40))
+    packed = base64.encodebytes(gzip.compress(f"{noise} {secret} {noise}".encode(), mtime=0)).decode()
+    lines = base64.encodebytes(f"{noise[:40]} {secret} {noise}".encode()).decode()
+    for text, at in ((f"data={plain}", 5), (f"/x?state={plain}", 9), (f"/v1/{plain}", 4), (f"id-{plain} end", 3), (f"see\n{packed}end", 4), (f"see\n{lines}end", 4), ("see\n" + lines.replace("\n", "\r\n") + "end", 4)):
+        spans = [x for x in secrets.find_secrets(text)[1] if x[1] == 0]
+        assert spans and all(at <= a < b <= len(text) for a, _, b in spans), text
+
+
 # 10
 
 
