@@ -380,6 +380,28 @@ def test_encoded_values_after_marks_and_over_lines():
         assert spans and all(at <= a < b <= len(text) for a, _, b in spans), text
 
 
+def test_layers_with_odd_characters_and_long_contents():
+    import base64
+    import gzip
+    import urllib.parse
+    import zlib
+
+    secret = 'password: "hunter2hunter2hunter2"'
+    quoted = urllib.parse.quote(secret, safe="")
+    b64 = lambda raw: base64.b64encode(raw).decode()
+    texts = [b64(f"{odd} some words {secret} {odd}".encode()) for odd in ("\u00a0", "\u3000", "\u00ad", "\u200d", "\f", "\x1b", "\0")]
+    texts += [b64(b"\xff some words " + secret.encode()), f"%ff{quoted}%80", "".join(f"\\u{ord(c):04x}" for c in f"\u00a0{secret}")]
+    filler = b"nothing to see here. " * (secrets.MAX_INFLATED // 20)
+    texts += [b64(zlib.compress(filler + secret.encode() + filler)), b64(gzip.compress(zlib.compress(filler + quoted.encode())))]
+    deep = secret.encode()
+    for _ in range(20):
+        deep = zlib.compress(deep)
+    texts.append(b64(deep))
+    for k, text in enumerate(texts):
+        spans = [x for x in secrets.find_secrets(f"see {text} end")[1] if x[1] == 0]
+        assert spans and all(4 <= a < b <= 4 + len(text) for a, _, b in spans), k
+
+
 # 10
 
 
