@@ -11,10 +11,10 @@ probabilities along its traversal.
 
 Up to ``WHOLE`` tokens the automaton is sent to the workers, which walk it from left to right. In a larger corpus nothing
 that grows is sent (``_looked_up``). The state before a token is the longest suffix of its history that has arcs, so
-the walk's arcs and failures at a token are those of its trigram, bigram and unigram and of its two histories. Texts are
-cut into written blocks. A block asks for the counts of its distinct n-grams, packed by ranges of their hashes; each
-range adds up what the blocks have and answers every block. The first block that has an arc adds it to its history's
-sums, and the histories' failure weights come back the same way. Then each block is scored with what it was told.
+the walk's arcs and failures at a token are those of its trigram, bigram and unigram and of its two histories. The texts
+are written once as blocks, which ask and are told (see ``blocks``): for the counts of their distinct unigrams and
+bigrams, then of the trigrams whose bigrams both are arcs, since no other can be one. The first block that has an arc
+adds it to its history's sums, and the histories' failure weights come back the same way. Then each block is scored.
 
 Words are 64-bit hashes of their bytes, which for a vocabulary of a billion words collide with odds of about 3 %; bigrams
 and trigrams are 64-bit hashes too, each order for itself.
@@ -31,13 +31,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from .blocks import MESSAGE, Part, Range, answers_of, asked, messages, range_bits, read_block, told, with_answers, write_blocks
 from .common import write_cut
-from .substrings import _release
-from .textops import each_slice, mix, slices
+from .textops import each_slice, mix
 
 ORDER = 3
 LEAST = 2
@@ -45,10 +43,11 @@ WHOLE = 1_000_000
 DISCOUNT = 0.5
 BITS = 20
 FLUSH = 1 << 22
-BLOCK = 6 << 20
-RANGE = 8 << 20
+RANGE = 16 << 20
 STEP = np.uint64(0xD6E8FEB86659FD93)
 END = np.uint64(0x5BF03635DC2F96E1)
+SUMS = np.dtype([("x", "<i8"), ("y", "<i8")])
+WEIGHT = 4  # the kind of key that asks for a failure weight, less its order
 
 
 def token_rows(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -289,86 +288,11 @@ def _walked(rows: DataFrame) -> DataFrame:
 
 # --- any size: counts and failure weights are looked up ---------------------------------------------------------------
 
-_MESSAGE = "block long, bucket int, h binary, x binary, y binary"
-_ANSWER = "block long, bucket int, x binary, n long, v long"
-
-
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows as compressed blocks of about ``BLOCK`` bytes of text, under numbers of their own."""
-    number = TaskContext.get().partitionId() << 32
-    held, size = [], 0
-
-    def flush():
-        nonlocal number
-        rows = pa.Table.from_batches(held).combine_chunks()
-        sizes = rows["text"].combine_chunks().fill_null("")
-        sizes = pa.compute.binary_length(sizes).to_numpy(zero_copy_only=False).astype(np.int64)
-        for i, j in slices(np.concatenate([[0], np.cumsum(sizes)]), BLOCK):
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                out.write_table(rows.slice(i, j - i))
-            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "x"])
-            number += 1
-
-    for batch in batches:
-        if batch.num_rows:
-            held.append(batch)
-            size += batch.column(2).nbytes
-        if size >= BLOCK:
-            yield from flush()
-            held, size = [], 0
-    if held:
-        yield from flush()
-
-
-def _squeezed(values: np.ndarray) -> bytes:
-    return pa.compress(np.ascontiguousarray(values).tobytes(), codec="zstd", asbytes=True)
-
-
-def _spread_out(raw: bytes, kind, n: int) -> np.ndarray:
-    return np.frombuffer(pa.decompress(raw, decompressed_size=n * np.dtype(kind).itemsize, codec="zstd", asbytes=True), kind) if n else np.zeros(0, kind)
-
-
-def _pack(h: np.ndarray, base: int) -> bytes:
-    """Sorted hashes of a range as steps of as few bytes as the longest needs."""
-    steps = np.diff(h, prepend=np.array([base], np.uint64))
-    width = max(1, (int(steps.max()).bit_length() + 7) // 8)
-    return bytes([width]) + steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
-
-
-def _unpack(raw: bytes, base: int) -> np.ndarray:
-    body = np.frombuffer(raw, np.uint8, offset=1).reshape(-1, raw[0])
-    steps = np.zeros((len(body), 8), np.uint8)
-    steps[:, : raw[0]] = body
-    return np.cumsum(steps.view("<u8").ravel().astype(np.uint64), dtype=np.uint64) + np.uint64(base)
-
-
-def _base(bucket: int, bits: int) -> int:
-    return (bucket & ((1 << bits) - 1)) << (64 - bits)
-
-
-def _messages(block: int, bits: int, parts: list[tuple[int, np.ndarray, np.ndarray, np.ndarray | None]]) -> pa.Table:
-    """A row for each range of hashes. parts: order, sorted hashes, and one or two values of each."""
-    out: dict[str, list] = {"block": [], "bucket": [], "h": [], "x": [], "y": []}
-    for n, h, x, y in parts:
-        which = (h >> np.uint64(64 - bits)).astype(np.int64)
-        cuts = np.flatnonzero(np.diff(which, prepend=-1))
-        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(h)]):
-            bucket = n << bits | int(which[a])
-            out["block"].append(block)
-            out["bucket"].append(bucket)
-            out["h"].append(_pack(h[a:b], _base(bucket, bits)))
-            out["x"].append(_squeezed(x[a:b]))
-            out["y"].append(None if y is None else _squeezed(y[a:b]))
-    return pa.table(out, pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("h", pa.binary()), ("x", pa.binary()), ("y", pa.binary())]))
-
-
 class Block:
-    """The n-grams of a block. of[n]: its sorted distinct n-gram hashes; at[n]: the place there of the n-gram that ends at a position, or -1."""
+    """The n-grams of a block. of[n]: its sorted distinct n-gram hashes; at[n]: the place there of the n-gram that ends at a position, or -1; first[n]: a position where each ends."""
 
     def __init__(self, payload: bytes):
-        with pa.ipc.open_stream(payload) as stream:
-            self.rows = stream.read_all().combine_chunks()
+        self.rows = read_block(payload)
         tokens, lengths = [], []
         for _, got, bounds in token_rows(self.rows["text"]):
             tokens.append(got)
@@ -380,81 +304,119 @@ class Block:
         size = len(flat) + len(self.n_tokens)
         self.token = np.ones(size, bool)
         self.token[self.start] = False
-        t = np.full(size, END, np.uint64)
-        t[self.token] = flat
+        self.words = np.full(size, END, np.uint64)
+        self.words[self.token] = flat
         self.row = np.repeat(np.arange(len(self.n_tokens)), self.n_tokens + 1)
-        second = self.token.copy()
-        second[self.start + 1] = False  # the first token of a row ends no trigram
-        self.ends = {1: np.ones(size, bool), 2: self.token, 3: second}
-        self.of, self.at, self.first = {}, {}, {}
-        keys = t
+        self.ends, self.of, self.at, self.first, self.c, self.own = {}, {}, {}, {}, {}, {}
+        with np.errstate(over="ignore"):
+            self.pairs = mix(np.concatenate([self.words[:1], self.words[:-1]]) * STEP + self.words + np.uint64(2))
+        self._placed(1, self.words, np.ones(size, bool))
+        self._placed(2, self.pairs, self.token)
+
+    def _placed(self, n: int, keys: np.ndarray, ends: np.ndarray) -> None:
+        places = np.flatnonzero(ends)
+        keys = keys[places]
+        order = np.argsort(keys)
+        ranked = keys[order]
+        new = np.ones(len(order), bool)
+        new[1:] = ranked[1:] != ranked[:-1]
+        self.ends[n], self.of[n], self.first[n] = ends, ranked[new], places[order[new]]
+        self.at[n] = np.full(len(ends), -1, np.int64)
+        self.at[n][places[order]] = np.cumsum(new) - 1
+
+    def _trigrams(self) -> None:
+        """Those that may occur LEAST times: both their bigrams do."""
+        arc = np.zeros(len(self.token), bool)
+        arc[self.token] = self.c[2][self.at[2][self.token]] >= LEAST
+        both = arc.copy()
+        both[1:] &= arc[:-1]
+        both[self.start] = False
+        both[self.start + 1] = False  # the first token of a row ends no trigram
         with np.errstate(over="ignore"):
-            for n in range(1, ORDER + 1):
-                if n > 1:
-                    keys = mix(np.concatenate([keys[:1], keys[:-1]]) * STEP + t + np.uint64(n))
-                places = np.flatnonzero(self.ends[n])
-                self.of[n], first, inverse = np.unique(keys[places], return_index=True, return_inverse=True)
-                self.at[n] = np.full(size, -1, np.int64)
-                self.at[n][places] = inverse
-                self.first[n] = places[first]
-
-    def asked(self, block: int, bits: int) -> pa.Table:
-        train = ~self.rows["held_out"].to_numpy(zero_copy_only=False)[self.row] & self.token
-        return _messages(block, bits, [(n, self.of[n], np.bincount(self.at[n][train & self.ends[n]], minlength=len(self.of[n])).astype(np.uint32), None) for n in range(1, ORDER + 1)])
-
-    def told(self, answers: list[tuple[int, bytes]], bits: int) -> None:
+            self._placed(3, mix(np.concatenate([self.pairs[:1], self.pairs[:-1]]) * STEP + self.words + np.uint64(3)), both)
+
+    def _counts(self, n: int) -> Part:
+        train = ~self.rows["held_out"].to_numpy(zero_copy_only=False)[self.row] & self.token & self.ends[n]
+        return n, self.of[n], [np.bincount(self.at[n][train], minlength=len(self.of[n])).astype(np.uint32)]
+
+    def told(self, answers: pa.Table, bits: int, upto: int) -> "Block":
         """Takes the counts: c[n], and own[n] for the n-grams that this block adds to their histories' sums."""
-        self.c, self.own = {}, {}
-        for n, got in self._arrays(answers, bits, self.of, np.int64).items():
+        for n in range(1, upto + 1):
+            if n == 3:
+                self._trigrams()
+            got = told(answers, n, bits, self.of[n], np.int64)
             self.c[n], self.own[n] = got >> 1, (got & 1).astype(bool)
-
-    @staticmethod
-    def _arrays(answers: list[tuple[int, bytes]], bits: int, of: dict[int, np.ndarray], kind) -> dict[int, np.ndarray]:
-        raw, out = dict(answers), {}
-        for n, h in of.items():
-            buckets, sizes = np.unique((h >> np.uint64(64 - bits)).astype(np.int64), return_counts=True)
-            out[n] = np.concatenate([np.zeros(0, kind), *[_spread_out(raw[n << bits | b], kind, k) for b, k in zip(buckets.tolist(), sizes.tolist())]])
+        return self
+
+    def ask(self, number: int, bits: int) -> pa.Table:
+        return messages(number, bits, [self._counts(1), self._counts(2)])
+
+    def ask_trigrams(self, number: int, bits: int) -> pa.Table:
+        self._trigrams()
+        return messages(number, bits, [self._counts(3), self._weights(1)])
+
+    def ask_weights(self, number: int, bits: int) -> pa.Table:
+        return messages(number, bits, [self._weights(2)])
+
+    def _weights(self, n: int) -> Part:
+        at, x, y = self.histories(n)
+        return WEIGHT + n, self.of[n][at], [x, y]
+
+    def histories(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the n-grams whose failure weight is asked or added to: places in of[n], and sums over the arcs that are this block's to add.
+
+        In an arc's count c, x adds 2 c - 1: the arcs' probabilities are x / 2 by the history's count. y adds what gives
+        the shorter histories' probabilities in the same way: 2 c - 1 of the shorter n-gram, or c + 1 at the root.
+        """
+        arc = self.own[n + 1] & (self.c[n + 1] >= LEAST)
+        p = self.first[n + 1][arc]  # where such an arc ends
+        history, size = self.at[n][p - 1], len(self.of[n])
+        shorter = self.c[n][self.at[n][p]]
+        x, y = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        np.add.at(x, history, 2 * self.c[n + 1][arc] - 1)
+        np.add.at(y, history, shorter + 1 if n == 1 else 2 * shorter - 1)
+        last = np.flatnonzero(self._can_end(n + 1))
+        at = self.at[n + 1][last]
+        missed = last[(at < 0) | (self.c[n + 1][np.maximum(at, 0)] < LEAST) if len(self.of[n + 1]) else np.ones(len(last), bool)] - 1
+        wanted = np.zeros(size, bool)
+        wanted[self.at[n][missed]] = True
+        wanted &= self.c[n] >= LEAST
+        wanted[history] = True
+        at = np.flatnonzero(wanted)
+        return at, x[at], y[at]
+
+    def _can_end(self, n: int) -> np.ndarray:
+        out = self.token.copy()
+        if n == 3:
+            out[self.start + 1] = False
         return out
 
-    def histories(self, scale: float) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Of the unigrams and bigrams whose failure weight is asked or added to: places in of[n], and the sums of their arcs' and of the shorter histories' probabilities."""
-        out = {}
-        for n in (1, 2):
-            arc = self.own[n + 1] & (self.c[n + 1] >= LEAST)
-            p = self.first[n + 1][arc]  # where such an arc ends
-            count, history = self.c[n + 1][arc], self.at[n][p - 1]
-            prob = (count - DISCOUNT) / np.maximum(self.c[n][history], count)
-            if n == 1:
-                lower = (self.c[1][self.at[1][p]] + 1.0) / scale
-            else:
-                shorter = self.c[2][self.at[2][p]]
-                lower = (shorter - DISCOUNT) / np.maximum(self.c[1][self.at[1][p - 1]], shorter)
-            size = len(self.of[n])
-            missed = np.flatnonzero(self.ends[n + 1])
-            missed = missed[self.c[n + 1][self.at[n + 1][missed]] < LEAST] - 1
-            wanted = np.zeros(size, bool)
-            wanted[self.at[n][missed]] = True
-            wanted &= self.c[n] >= LEAST
-            wanted[history] = True
-            at = np.flatnonzero(wanted)
-            out[n] = at, np.bincount(history, prob, size)[at], np.bincount(history, lower, size)[at]
+    def backs(self, n: int, answers: pa.Table, bits: int, scale: float) -> np.ndarray:
+        """log10 of the failure weights of of[n]; 0 for those without arcs."""
+        at, *_ = self.histories(n)
+        got = told(answers, WEIGHT + n, bits, self.of[n][at], SUMS)
+        x, y = got["x"].astype(float), got["y"].astype(float)
+        if n == 1:
+            lower = y / scale
+        else:
+            lower = y / 2 / np.maximum(1, self.c[1][self.at[1][self.first[2][at]]])
+        out = np.zeros(len(self.of[n]))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            out[at] = np.where(x > 0, np.log10(np.maximum(1e-9, 1 - x / 2 / np.maximum(1, self.c[n][at])) / np.maximum(1e-9, 1 - lower)), 0.0)
         return out
 
-    def scored(self, answers: list[tuple[int, bytes]], bits: int, total: int, vocabulary: int) -> pa.Table:
-        scale = np.log10(total + vocabulary + 1)
-        asked = self.histories(float(total + vocabulary + 1))
-        got = self._arrays(answers, bits, {n: self.of[n][asked[n][0]] for n in asked}, np.float64)
-        back = {n: np.zeros(len(self.of[n])) for n in asked}
-        for n in asked:
-            back[n][asked[n][0]] = got[n]
+    def scored(self, answers: pa.Table, bits: int, total: int, vocabulary: int) -> pa.Table:
+        scale = float(total + vocabulary + 1)
+        back = {n: self.backs(n, answers, bits, scale) for n in (1, 2)}
         p = np.flatnonzero(self.token)
         c1, c2, before = self.c[1][self.at[1][p]], self.c[2][self.at[2][p]], self.c[1][self.at[1][p - 1]]
-        base = np.log10(c1 + 1.0) - scale
+        base = np.log10(c1 + 1.0) - np.log10(scale)
         with np.errstate(divide="ignore", invalid="ignore"):
             score = np.where(c2 >= LEAST, np.log10((c2 - DISCOUNT) / np.maximum(before, c2)), back[1][self.at[1][p - 1]] + base)
-            third = self.ends[3][p]
+            third = self._can_end(3)[p]
             q = p[third]
-            c3, pair = self.c[3][self.at[3][q]], self.at[2][q - 1]
+            at, pair = self.at[3][q], self.at[2][q - 1]
+            c3 = np.where(at >= 0, self.c[3][np.maximum(at, 0)], 0) if len(self.c[3]) else np.zeros(len(q), np.int64)
             score[third] = np.where(c3 >= LEAST, np.log10((c3 - DISCOUNT) / np.maximum(self.c[2][pair], c3)), back[2][pair] + score[third])
         row, n = self.row[p], len(self.n_tokens)
         add = lambda x: np.bincount(row, x, n)
@@ -464,94 +426,51 @@ class Block:
         )
 
 
-def _answers(rows: pa.Table, answers: list[np.ndarray], summary: tuple[int, int] | None) -> pa.Table:
-    blocks, buckets = rows["block"].to_pylist(), rows["bucket"].to_pylist()
-    data, n, v = [_squeezed(x) for x in answers], [None] * len(blocks), [None] * len(blocks)
-    if summary:
-        blocks, buckets, data, n, v = [*blocks, None], [*buckets, buckets[0]], [*data, None], [*n, summary[0]], [*v, summary[1]]
-    return pa.table([pa.array(blocks, pa.int64()), pa.array(buckets, pa.int32()), pa.array(data, pa.binary()), pa.array(n, pa.int64()), pa.array(v, pa.int64())], names=["block", "bucket", "x", "n", "v"])
-
-
-def _range(rows: pa.Table, bits: int) -> tuple[int, list[int], np.ndarray, np.ndarray]:
-    """The order, where each block's part ends, the distinct hashes and the place of each among them."""
-    bucket = rows["bucket"][0].as_py()
-    parts = [_unpack(h, _base(bucket, bits)) for h in rows["h"].to_pylist()]
-    distinct, inverse = np.unique(np.concatenate(parts), return_inverse=True)
-    return bucket >> bits, np.cumsum([len(x) for x in parts])[:-1].tolist(), distinct, inverse
-
-
-def _added(bits: int):
-    """Counts of the n-grams in a range of hashes, to all blocks: count * 2, and 1 more at the first block that trains on it. An n-gram under LEAST is no arc and told as 0."""
+def _answer(bits: int):
+    """What a range's task answers. To n-grams: count * 2, and 1 more at the first block that trains on it; one under LEAST is no arc and told as 0. To histories: the sums of all blocks."""
 
     def run(rows: pa.Table) -> pa.Table:
-        order, cuts, distinct, inverse = _range(rows, bits)
-        lengths = np.diff([0, *cuts, len(inverse)]).tolist()
-        own = np.concatenate([_spread_out(x, np.uint32, k) for x, k in zip(rows["x"].to_pylist(), lengths)]).astype(np.int64)
+        asked_ = Range(rows, bits)
+        distinct, inverse = np.unique(asked_.h, return_inverse=True)
+        if asked_.kind > WEIGHT:
+            out = np.zeros(len(inverse), SUMS)
+            for name in "xy":
+                added = np.zeros(len(distinct), np.int64)
+                np.add.at(added, inverse, asked_.values(name, np.int64))
+                out[name] = added[inverse]
+            return asked_.answers(out)
+        own = asked_.values("x", np.uint32).astype(np.int64)
         count = np.bincount(inverse, own, len(distinct)).astype(np.int64)
         trains = np.flatnonzero(own)
-        _, first = np.unique(inverse[trains], return_index=True)
-        summary = (int(count.sum()), int((count > 0).sum())) if order == 1 else None
-        if order > 1:
+        first = np.full(len(distinct), -1, np.int64)
+        first[inverse[trains[::-1]]] = trains[::-1]
+        summary = (int(count.sum()), int((count > 0).sum())) if asked_.kind == 1 else None
+        if asked_.kind > 1:
             count[count < LEAST] = 0
-        told = count[inverse] * 2
-        told[trains[first]] |= 1
-        return _answers(rows, np.split(told, cuts), summary)
+        answer = count[inverse] * 2
+        answer[first[first >= 0]] |= 1
+        return asked_.answers(answer, summary=summary)
 
     return run
 
 
-def _weights(bits: int):
-    """Failure weights of the histories in a range of hashes, to all blocks that ask; 0 for one without arcs."""
-
-    def run(rows: pa.Table) -> pa.Table:
-        _, cuts, distinct, inverse = _range(rows, bits)
-        lengths = np.diff([0, *cuts, len(inverse)]).tolist()
-        sums = [np.bincount(inverse, np.concatenate([_spread_out(x, np.float64, k) for x, k in zip(rows[name].to_pylist(), lengths)]), len(distinct)) for name in ("x", "y")]
-        back = np.where(sums[0] > 0, np.log10(np.maximum(1e-9, 1 - sums[0]) / np.maximum(1e-9, 1 - sums[1])), 0.0)
-        return _answers(rows, np.split(back[inverse], cuts), None)
-
-    return run
-
-
-def _told_block(rows: pa.Table, bits: int) -> tuple[int, Block, list[tuple[int, bytes]]]:
-    """rows of one block: its texts (kind 0), counts (1) and weights (2)."""
-    kinds, buckets, data = rows["kind"].to_pylist(), rows["bucket"].to_pylist(), rows["x"].to_pylist()
-    block = Block(next(x for k, x in zip(kinds, data) if k == 0))
-    block.told([(b, x) for k, b, x in zip(kinds, buckets, data) if k == 1], bits)
-    return rows["block"][0].as_py(), block, [(b, x) for k, b, x in zip(kinds, buckets, data) if k == 2]
-
-
 def _looked_up(rows: DataFrame, size: int) -> DataFrame:
     """Scores of a corpus of any size; rows: doc_id, held_out, text; size: bytes of text."""
-    bits = max(1, (size // RANGE).bit_length())  # so many ranges that each has about RANGE bytes' n-grams
-    spark = rows.sparkSession
-    parts = max(spark.sparkContext.defaultParallelism, size // RANGE)
-    by = lambda df, key: df.repartition(parts, key).groupBy(key)
-    blocks = write_cut(rows.mapInArrow(_blocks, "block long, x binary"), "blocks")
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for number, payload in zip(batch.column(0).to_pylist(), batch.column(1)):
-                yield from Block(payload.as_py()).asked(number, bits).to_batches()
-
-    counts = write_cut(by(blocks.mapInArrow(ask, _MESSAGE), "bucket").applyInArrow(_added(bits), _ANSWER), "counts")
-    _release(spark)
-    total, vocabulary = map(int, counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first())
-    scale = float(total + vocabulary + 1)
-    kind = lambda df, k: df.select("block", F.lit(k).alias("kind"), (F.lit(-1) if k == 0 else F.col("bucket")).alias("bucket"), "x")
-    known = kind(blocks, 0).unionByName(kind(counts.where("block IS NOT NULL"), 1))
-
-    def ask_weights(rows: pa.Table) -> pa.Table:
-        number, block, _ = _told_block(rows, bits)
-        return _messages(number, bits, [(n, block.of[n][at], x, y) for n, (at, x, y) in block.histories(scale).items() if len(at)])
-
-    def score_block(rows: pa.Table) -> pa.Table:
-        _, block, weights = _told_block(rows, bits)
-        return block.scored(weights, bits, total, vocabulary)
-
-    weights = write_cut(by(by(known, "block").applyInArrow(ask_weights, _MESSAGE), "bucket").applyInArrow(_weights(bits), _ANSWER), "weights")
-    _release(spark)
-    return by(known.unionByName(kind(weights, 2)), "block").applyInArrow(score_block, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    bits = range_bits(size, RANGE)
+    blocks = write_blocks(rows, "text", size)
+    rounds = lambda asked_, label: write_cut(answers_of(asked_, _answer(bits), bits), label)
+    counts = rounds(asked(blocks, lambda number, payload: Block(payload).ask(number, bits)), "counts")
+    sums = counts.where("block IS NULL").groupBy("bucket").agg(F.sum("n")).collect()  # of N and of V
+    total, vocabulary = (int(dict(sums).get(-k, 0)) for k in (1, 2))
+    second = rounds(with_answers(blocks, counts, lambda number, payload, answers: Block(payload).told(answers, bits, 2).ask_trigrams(number, bits), MESSAGE), "trigrams")
+    known = counts.unionByName(second)
+    third = rounds(with_answers(blocks, known, lambda number, payload, answers: Block(payload).told(answers, bits, 3).ask_weights(number, bits), MESSAGE), "weights")
+    return with_answers(
+        blocks,
+        known.unionByName(third),
+        lambda _, payload, answers: Block(payload).told(answers, bits, 3).scored(answers, bits, total, vocabulary),
+        "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
+    )
 
 
 def score(docs: DataFrame) -> DataFrame:
