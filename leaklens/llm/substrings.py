@@ -1,58 +1,76 @@
 """Operator 7: removal of repeated passages with a logarithmic family of suffix indexes.
 
-A byte goes if a 50-byte string over it also starts in a document with a smaller doc_id. Suffixes are sampled by
-content: of the GRAM-byte strings in every 50-byte window, the one with the smallest hash is an anchor, so equal windows
-have equal anchors at equal places and only anchors that several documents share can lie in a repeated window.
-
-1. Every document's anchors (about one in 15 bytes) go by hash to tasks that stream them in order of hash and doc_id
-   and give back those that two or more documents have.
-2. Each of these takes its context along, the up to 80 bytes of all windows in which it is the smallest. Contexts that repeat within
-   a batch are merged there: only the smallest doc_id's travels. By hash again, each task holds an index family for its
-   part of the anchors: a batch of documents, in order of doc_id, gets a suffix array (its windows, sorted by their
-   bytes, with the smallest doc_id of each), is merge-scanned against the levels so far, and becomes a level;
-   levels of like size merge, so there are logarithmically many. Contexts that a smaller document has in full need no
-   windows at all, and anchors with one context only have nothing to compare.
-3. Windows found in smaller documents give byte ranges, which are joined to their texts.
-
-An anchor with over HOT_ROWS rows and over ``HOT`` of all shared ones would meet in one task. Its contexts are cut into their
-windows and dealt by the windows' own hashes, so that inner windows merge before they travel and outer ones spread.
+A byte goes if a 50-byte string over it also starts in a document with a smaller doc_id. Suffixes are dealt by content:
+of the GRAM-byte strings in every 50-byte window, the one with the smallest hash is its anchor, so equal windows have
+equal anchors at equal places. An anchor's context is the up to 80 bytes of all windows in which it is the smallest.
+
+The texts are written once as blocks, which ask and are told (see ``blocks``):
+
+1. A block sends the hashes of its distinct anchors and texts, and is told which anchors two or more documents have and
+   the smallest document of each text. A later copy of a text goes whole and takes no further part.
+2. It sends the distinct contexts of its shared anchors, each once, with the smallest document in the block that has it.
+   Each task holds the index family of its range of anchors: of equal contexts all but the smallest document's are hits
+   as a whole; of anchors with several contexts, batches in order of doc_id get a suffix array (their windows, sorted by
+   their bytes, with the smallest document of each), are merge-scanned against the levels so far, and become a level;
+   levels of like size merge, so there are logarithmically many.
+3. Each block is told what of each of its contexts smaller documents have, and cuts its texts.
+
+So a passage that a third of all documents hold is one context from each block. An anchor of over ``HOT`` documents, as
+at the edges of such a passage, where each document has another context, has these cut into their windows, which are
+dealt by the windows' own hashes.
 
 Edge cases: a null or empty text, and one under 50 bytes, loses nothing; rows with a null doc_id neither lose bytes nor
 take any from others; equal texts lose everything but the smallest doc_id's; rows under one doc_id are one document and
-take nothing from each other; other columns are not read. Offsets are bytes; a removal may cut a character.
+take nothing from each other; a text of any length is handled whole, in one block; other columns are not read. Offsets
+are bytes; a removal may cut a character.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
-import time
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
+from .blocks import MESSAGE, Range, answered, answers_of, asked, messages, range_bits, read_block, told, unsqueezed, with_answers, write_blocks
 from .common import write_cut
 from .textops import _BYTE_CODE, _powers_to, mix, slices, text_bytes
 
 LENGTH, GRAM = 50, 20
 REACH = LENGTH - GRAM
-HOT, HOT_ROWS = 1 / 1000, 50_000
-ROWS_PER_TASK = 100_000
-BATCH = 100_000
-
-
-def gram_hashes(raw: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the GRAM bytes from each position on."""
-    n = len(raw)
-    if n < GRAM:
-        return np.zeros(0, np.uint64)
-    up, down = _powers_to(n + 1)
-    with np.errstate(over="ignore"):
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE_CODE[raw] * up[:n], out=total[1:])
-        return mix((total[GRAM:] - total[:-GRAM]) * down[: n - GRAM + 1])
+HOT = 4096
+RANGE = 16 << 20
+BATCH = 12_500
+SLICE = 1 << 19
+TEXT, ANCHOR, CONTEXT = 0, 1, 2
+LONE, SHARED, CROWDED = 0, 1, 2
+NONE, WHOLE, PARTS = 0, 1, 2
+_PART = np.dtype([("key", "<u4"), ("a", "u1"), ("b", "u1")])
+
+
+class Rolling:
+    """64-bit hashes of any strings of bytes within ``raw``."""
+
+    def __init__(self, raw: np.ndarray):
+        n = len(raw)
+        up, self.down = _powers_to(n + 1)
+        self.total = np.zeros(n + 1, np.uint64)
+        with np.errstate(over="ignore"):
+            np.cumsum(_BYTE_CODE[raw] * up[:n], out=self.total[1:])
+
+    def of(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return mix((self.total[stop] - self.total[start]) * self.down[start])
+
+    def grams(self) -> np.ndarray:
+        """The hash of the GRAM bytes from each position on."""
+        n = len(self.total) - GRAM
+        if n <= 0:
+            return np.zeros(0, np.uint64)
+        with np.errstate(over="ignore"):
+            return mix((self.total[GRAM:] - self.total[:-GRAM]) * self.down[:n])
 
 
 def _sliding(x: np.ndarray, width: int, op) -> np.ndarray:
@@ -63,56 +81,17 @@ def _sliding(x: np.ndarray, width: int, op) -> np.ndarray:
     return op(x[: len(x) - (width - w)], x[width - w :]) if w < width else x
 
 
-def anchors(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the anchors of rows end to end: the smallest gram of every LENGTH-byte window inside a row (all, if several are)."""
-    h = gram_hashes(raw)
+def anchors(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Positions of the anchors of rows end to end: the smallest gram of every LENGTH-byte window inside a row (all, if several are)."""
     width = REACH + 1
     if len(h) < width:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64)
     least = _sliding(h, width, np.minimum)  # of the window that starts here
     room = np.repeat(offsets[1:], np.diff(offsets))[: len(least)] - np.arange(len(least))
-    inside = np.where(room >= LENGTH, least, np.uint64(0))
     pad = np.zeros(width - 1, np.uint64)
-    # a gram is an anchor if a window over it has it as the smallest: windows start up to REACH bytes before it
-    most = np.zeros(len(h), bool)
-    spread = np.concatenate([pad, inside, pad])
-    for k in range(width):
-        most |= spread[k : k + len(h)] == h
-    return np.flatnonzero(most), h[most]
-
-
-def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
-        raw, offsets = text_bytes(batch.column(1))
-        for i, j in slices(offsets, 1 << 19):
-            at, h = anchors(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-            row = np.searchsorted(offsets[i : j + 1] - offsets[i], at, "right") - 1 + i
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[row]), pa.array((at + offsets[i] - offsets[row]).astype(np.int32))], names=["h", "doc", "pos"])
-
-
-def _shared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (h, doc), those whose h has two docs or more, with its upper half. Only the first doc's rows of the last h are held."""
-    none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32))
-    held, open_h, known = none, None, False
-    for batch in batches:
-        if batch.num_rows == 0:
-            continue
-        new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
-        h, doc, pos = (np.concatenate(p) for p in zip(held, new))
-        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        size = np.diff(np.append(first, len(h)))
-        multi = doc[first] != doc[first + size - 1]
-        if known and h[0] == open_h:
-            multi[0] = True
-        keep = np.repeat(multi, size)
-        open_h, known = h[-1], bool(multi[-1])
-        held = none if known else (h[first[-1] :], doc[first[-1] :], pos[first[-1] :])
-        if keep.any():
-            yield pa.RecordBatch.from_arrays([pa.array((h[keep] >> 32).astype(np.int32)), pa.array(doc[keep]), pa.array(pos[keep])], names=["half", "doc", "pos"])
-
-
-_CONTEXT = "h long, doc long, row int, pos int, size int, bytes binary"
+    # a gram is an anchor if a window over it has it as the smallest, so if the largest of their smallest ones is the gram
+    inside = np.concatenate([pad, np.where(room >= LENGTH, least, np.uint64(0)), pad])
+    return np.flatnonzero(_sliding(inside, width, np.maximum)[: len(h)] == h)
 
 
 def _reach(h: np.ndarray, at: np.ndarray, least: np.ndarray, room: np.ndarray, way: int) -> np.ndarray:
@@ -124,230 +103,318 @@ def _reach(h: np.ndarray, at: np.ndarray, least: np.ndarray, room: np.ndarray, w
     return out
 
 
-def _contexts(hot: np.ndarray):
-    """Rows (doc, row, text, positions) become contexts, merged where they repeat within a batch (no bytes: a smaller document has it all)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            doc, row = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            raw, offsets = text_bytes(batch.column(2))
-            listed = batch.column(3)
-            counts = np.diff(listed.offsets.to_numpy())
-            for i, j in slices(offsets, 1 << 19):
-                flat = listed.slice(i, j - i).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-                r = np.repeat(np.arange(i, j), counts[i:j])
-                part = raw[offsets[i] : offsets[j]]
-                h_all = gram_hashes(part)
-                room = offsets[r + 1] - offsets[r]
-                fine = flat + GRAM <= room
-                flat, r, room = flat[fine], r[fine], room[fine]
-                if not len(flat):
-                    continue
-                at = flat + offsets[r] - offsets[i]
-                least = h_all[at]
-                start = flat - _reach(h_all, at, least, flat, -1)
-                stop = flat + _reach(h_all, at, least, room - GRAM - flat, 1) + GRAM
-                h = least.view(np.int64)
-                is_hot = np.isin(h >> 32, hot)
-                if is_hot.any():  # each window over the anchor on its own, under its own hash
-                    again = np.repeat(np.flatnonzero(is_hot), np.maximum(0, stop - start - LENGTH + 1)[is_hot])
-                    first = np.concatenate([np.arange(max(0, b - a - LENGTH + 1)) for a, b in zip(start[is_hot], stop[is_hot])]).astype(np.int64)
-                    w = start[again] + first
-                    take = part[(w + offsets[r[again]] - offsets[i])[:, None] + np.arange(LENGTH)]
-                    keys = np.array([int.from_bytes(hashlib.blake2b(x.tobytes(), digest_size=8).digest(), "little", signed=True) for x in take], np.int64)
-                    h, r = np.concatenate([h[~is_hot], keys]), np.concatenate([r[~is_hot], r[again]])
-                    start, stop = np.concatenate([start[~is_hot], w]), np.concatenate([stop[~is_hot], w + LENGTH])
-                size = stop - start
-                wide = size >= LENGTH
-                h, r, start, size = (x[wide] for x in (h, r, start, size))
-                if not len(h):
-                    continue
-                begin = start + offsets[r] - offsets[i]
-                seen: dict[tuple[int, bytes], int] = {}
-                whole, ids = part.tobytes(), doc[r]
-                data: list[bytes] = [b""] * len(h)
-                order = np.argsort(ids, kind="stable")
-                for k, key, from_, n, d in zip(order.tolist(), h[order].tolist(), begin[order].tolist(), size[order].tolist(), ids[order].tolist()):
-                    x = whole[from_ : from_ + n]
-                    if seen.setdefault((key, x), d) == d:
-                        data[k] = x
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h), pa.array(doc[r]), pa.array(row[r]), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(data, pa.binary())], names=["h", "doc", "row", "pos", "size", "bytes"]
-                )
+def _gathered(raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The bytes of many pieces end to end."""
+    if not len(start):
+        return np.zeros(0, np.uint8)
+    upto = np.cumsum(size)
+    return raw[np.arange(upto[-1]) + np.repeat(start - (upto - size), size)]
+
+
+class Block:
+    """The texts of a block, end to end, and what is known of them."""
+
+    def __init__(self, payload: bytes):
+        rows = read_block(payload)
+        self.ids = rows["doc_id"].combine_chunks()
+        self.raw, self.offsets = text_bytes(rows["text"])
+        self.doc = self.ids.fill_null(0).to_numpy(zero_copy_only=False)
+        self.able = np.asarray(self.ids.is_valid()) & (np.diff(self.offsets) >= LENGTH)
+        # distinct texts: (hi, lo) of their digests, sorted; each able row's place among them
+        rows_able = np.flatnonzero(self.able)
+        whole = self.raw.tobytes() if len(rows_able) else b""
+        digests = [hashlib.blake2b(whole[self.offsets[r] : self.offsets[r + 1]], digest_size=16).digest() for r in rows_able.tolist()]
+        pairs = np.frombuffer(b"".join(digests), "<u8").reshape(-1, 2)
+        order = np.lexsort((self.doc[rows_able], pairs[:, 1], pairs[:, 0]))
+        pairs = pairs[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (pairs[1:] != pairs[:-1]).any(axis=1)
+        self.texts, self.first_doc = pairs[new], self.doc[rows_able][order][new]
+        self.text_of = np.full(len(self.doc), -1, np.int64)
+        self.text_of[rows_able[order]] = np.cumsum(new) - 1
+
+    def _slices(self) -> Iterator[tuple[int, int, np.ndarray, Rolling, np.ndarray, np.ndarray]]:
+        """(i, j, hashes of grams, rolling, positions of anchors, their rows) of rows i to j; positions count from row i."""
+        for i, j in slices(self.offsets, SLICE):
+            if not self.able[i:j].any():
+                continue
+            rolling = Rolling(self.raw[self.offsets[i] : self.offsets[j]])
+            h = rolling.grams()
+            local = self.offsets[i : j + 1] - self.offsets[i]
+            at = anchors(h, local)
+            row = np.searchsorted(local, at, "right") - 1 + i
+            fine = self.able[row]
+            yield i, j, h, rolling, at[fine], row[fine]
+
+    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted distinct hashes (mixed again, as the smallest of many would all be in the first ranges), and how many documents have each."""
+        hs, docs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for _, _, h, _, at, row in self._slices():
+            hs.append(mix(h[at]))
+            docs.append(self.doc[row])
+        h, doc = np.concatenate(hs), np.concatenate(docs)
+        order = np.lexsort((doc, h))
+        h, doc = h[order], doc[order]
+        new = np.ones(len(h), bool)
+        new[1:] = h[1:] != h[:-1]
+        another = new.copy()
+        another[1:] |= doc[1:] != doc[:-1]
+        first = np.flatnonzero(new)
+        return h[first], np.add.reduceat(another.astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
+
+    def ask(self, number: int, bits: int) -> pa.Table:
+        h, docs = self.anchors()
+        return messages(number, bits, [(TEXT, self.texts[:, 0], [self.texts[:, 1], self.first_doc]), (ANCHOR, h, [np.minimum(docs, 65_535).astype(np.uint16)])])
+
+    def contexts(self, answers: pa.Table, bits: int) -> None:
+        """Takes the answers: copies goes by rows; the shared anchors' contexts by key, and each context's place among the distinct ones."""
+        least = told(answers, TEXT, bits, self.texts[:, 0], np.int64)
+        self.copy = self.able.copy()
+        self.copy[self.able] = self.doc[self.able] > least[self.text_of[self.able]]
+        h_all = self.anchors()[0]
+        state = told(answers, ANCHOR, bits, h_all, np.uint8)
+        found = []
+        for i, _, h, rolling, at, row in self._slices():
+            key = mix(h[at])
+            state_at = state[np.searchsorted(h_all, key)]
+            fine = (state_at != LONE) & ~self.copy[row]
+            at, row, key, state_at = at[fine], row[fine], key[fine], state_at[fine]
+            if not len(at):
+                continue
+            least_h = h[at]
+            begin, end = self.offsets[row] - self.offsets[i], self.offsets[row + 1] - self.offsets[i]
+            start = at - _reach(h, at, least_h, at - begin, -1)
+            stop = at + _reach(h, at, least_h, end - GRAM - at, 1) + GRAM
+            wide = stop - start >= LENGTH
+            key, start, stop, row, hot = key[wide], start[wide], stop[wide], row[wide], state_at[wide] == CROWDED
+            if hot.any():  # each window over the anchor on its own, under its own hash
+                n = (stop - start - LENGTH + 1)[hot]
+                first = np.repeat(start[hot] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                windows = rolling.of(first, first + LENGTH) ^ np.uint64(0x9E3779B97F4A7C15)
+                key, row = np.concatenate([key[~hot], windows]), np.concatenate([row[~hot], np.repeat(row[hot], n)])
+                start, stop = np.concatenate([start[~hot], first]), np.concatenate([stop[~hot], first + LENGTH])
+            found.append((key, rolling.of(start, stop), start + self.offsets[i], stop - start, row))
+        if found:
+            key, digest, start, size, row = (np.concatenate(x) for x in zip(*found))
+        else:
+            key, digest = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+            start, size, row = (np.zeros(0, np.int64) for _ in range(3))
+        order = np.lexsort((self.doc[row], digest, size, key))
+        key, digest, self.start, self.size, self.row = (x[order] for x in (key, digest, start, size, row))
+        new = np.ones(len(order), bool)
+        new[1:] = (key[1:] != key[:-1]) | (self.size[1:] != self.size[:-1]) | (digest[1:] != digest[:-1])
+        self.first = np.flatnonzero(new)  # of each distinct context, with its smallest document
+        self.place = np.cumsum(new) - 1
+        self.key = key[self.first]
+
+    def ask_contexts(self, number: int, bits: int) -> pa.Table:
+        size, doc = self.size[self.first], self.doc[self.row[self.first]]
+        pieces = lambda a, b: _gathered(self.raw, self.start[self.first[a:b]], size[a:b])
+        return messages(number, bits, [(CONTEXT, self.key, [size.astype(np.uint8), doc, pieces])])
+
+    def cut(self, answers: pa.Table, bits: int) -> pa.Table:
+        """The contract's columns."""
+        state = told(answers, CONTEXT, bits, self.key, np.uint8)
+        later = self.doc[self.row] > self.doc[self.row[self.first]][self.place]
+        whole = later | (state[self.place] == WHOLE)
+        starts, stops = [self.start[whole], self.offsets[:-1][self.copy]], [(self.start + self.size)[whole], self.offsets[1:][self.copy]]
+        # parts: of distinct contexts, for all places of their smallest documents
+        parts, at = [], 0
+        buckets, sizes = np.unique((self.key >> np.uint64(64 - bits)).astype(np.int64), return_counts=True)
+        for (_, _, n, y), k in zip(answered(answers, CONTEXT, bits), sizes.tolist()):
+            got = unsqueezed(y, _PART, n)
+            parts.append(np.stack([got["key"].astype(np.int64) + at, got["a"].astype(np.int64), got["b"].astype(np.int64)], axis=1))
+            at += k
+        if parts and len(parts := np.concatenate(parts)):
+            own = np.flatnonzero(~later & (state[self.place] == PARTS))
+            lo = np.searchsorted(parts[:, 0], self.place[own], "left")
+            n = np.searchsorted(parts[:, 0], self.place[own], "right") - lo
+            which = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            from_ = np.repeat(self.start[own], n)
+            starts.append(from_ + parts[which, 1])
+            stops.append(from_ + parts[which, 2])
+        n = len(self.raw)
+        edge = np.bincount(np.concatenate(starts), minlength=n + 1) - np.bincount(np.concatenate(stops), minlength=n + 1)
+        gone = np.cumsum(edge)[:n] > 0
+        opens = gone.copy()
+        opens[1:] &= ~gone[:-1]
+        rows = len(self.doc)
+        filled = np.flatnonzero(np.diff(self.offsets))
+        opens[self.offsets[filled]] = gone[self.offsets[filled]]
+        n_gone, n_spans = np.zeros(rows, np.int64), np.zeros(rows, np.int64)
+        if len(filled):
+            n_gone[filled] = np.add.reduceat(gone.astype(np.int64), self.offsets[filled])
+            n_spans[filled] = np.add.reduceat(opens.astype(np.int64), self.offsets[filled])
+        left = self.raw[~gone].tobytes()
+        sizes = np.diff(self.offsets) - n_gone
+        ends = np.cumsum(sizes)
+        digests = [hashlib.sha256(left[b - k : b]).hexdigest() for b, k in zip(ends.tolist(), sizes.tolist())]
+        return pa.table([self.ids, pa.array(np.diff(self.offsets)), pa.array(n_gone), pa.array(n_spans), pa.array(digests, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+
+# --- what the ranges' tasks answer ------------------------------------------------------------------------------------
+
+
+def _shared(bits: int):
+    """Texts: their smallest document. Anchors: whether one, several or many documents have them."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        asked_ = Range(rows, bits)
+        if asked_.kind == TEXT:
+            lo, doc = asked_.values("x", np.uint64), asked_.values("y", np.int64)
+            order = np.lexsort((doc, lo, asked_.h))
+            h, lo = asked_.h[order], lo[order]
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (lo[1:] != lo[:-1])
+            least = np.empty(len(h), np.int64)
+            least[order] = doc[order][new][np.cumsum(new) - 1]
+            return asked_.answers(least)
+        docs = asked_.values("x", np.uint16)
+        distinct, inverse = np.unique(asked_.h, return_inverse=True)
+        total = np.bincount(inverse, docs, len(distinct))[inverse]
+        return asked_.answers(np.where(total > HOT, CROWDED, np.where(total > 1, SHARED, LONE)).astype(np.uint8))
 
     return run
 
 
 class SuffixIndexFamily:
-    """Sorted windows with the smallest doc of each, in levels whose sizes at least double."""
+    """Sorted distinct windows with the smallest document of each, in levels whose sizes at least double."""
 
     def __init__(self):
         self.levels: list[tuple[np.ndarray, np.ndarray]] = []
 
-    def smallest(self, windows: np.ndarray) -> np.ndarray:
-        """The smallest doc of each (sorted) window over the levels; the largest integer where there is none."""
-        out = np.full(len(windows), np.iinfo(np.int64).max)
-        for keys, docs in self.levels:
-            at = np.minimum(np.searchsorted(keys, windows), len(keys) - 1)
-            same = keys[at] == windows
-            out[same] = np.minimum(out[same], docs[at[same]])
+    def scan(self, windows: np.ndarray, docs: np.ndarray) -> np.ndarray:
+        """The smallest document of each of the (sorted distinct) windows, by merging them with every level."""
+        out = docs
+        for level in self.levels:
+            out = np.minimum(out, merged(level, (windows, docs))[2])
         return out
 
     def add(self, windows: np.ndarray, docs: np.ndarray) -> None:
-        """A new level of sorted distinct windows; levels of like size merge."""
+        """A new level; levels of like size merge."""
         if len(windows):
             self.levels.append((windows, docs))
         while len(self.levels) > 1 and len(self.levels[-2][0]) < 2 * len(self.levels[-1][0]):
-            (k1, d1), (k2, d2) = self.levels.pop(), self.levels.pop()
-            self.levels.append(_distinct(np.concatenate([k1, k2]), np.concatenate([d1, d2])))
+            b, a = self.levels.pop(), self.levels.pop()
+            self.levels.append(merged(a, b)[:2])
+
+
+def merged(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The merge of two sorted levels: their distinct windows, the smallest document of each, and that of each window of b."""
+    keys, docs = np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]])
+    order = np.argsort(keys, kind="stable")  # two runs, which the sort merges in one pass
+    keys, docs = keys[order], docs[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    first = np.flatnonzero(new)
+    least = np.minimum.reduceat(docs, first) if len(first) else docs
+    place = np.empty(len(order), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return keys[first], least, least[place[len(a[0]) :]]
 
 
 def _suffix_array(windows: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct windows, the smallest doc of each, and each given window's place among them. docs ascend."""
+    """Sorted distinct windows, the smallest document of each, and each given window's place among them. docs ascend."""
     order = np.argsort(windows, kind="stable")
     ranked = windows[order]
-    first = np.concatenate([[True], ranked[1:] != ranked[:-1]])
+    first = np.ones(len(ranked), bool)
+    first[1:] = ranked[1:] != ranked[:-1]
     place = np.empty(len(order), np.int64)
     place[order] = np.cumsum(first) - 1
     return ranked[first], docs[order][first], place
 
 
-def _distinct(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.lexsort((docs, keys))
-    keys, docs = keys[order], docs[order]
-    first = np.concatenate([[True], keys[1:] != keys[:-1]])
-    return keys[first], docs[first]
-
-
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Contexts of a part of the anchors become byte ranges (doc, row, from, to) that smaller documents have too."""
-    table = [b for b in batches if b.num_rows]
-    if not table:
-        return
-    t = pa.Table.from_batches(table).combine_chunks()
-    h, doc, row, pos, size = (t.column(k).combine_chunks().to_numpy(zero_copy_only=False) for k in range(5))
-    pos, size = pos.astype(np.int64), size.astype(np.int64)
-    raw, offsets = _binary(t.column(5).combine_chunks())
-    out = [_ranges(doc[m := np.diff(offsets) == 0], row[m], pos[m], (pos + size)[m])]  # merged before they came
-    live = np.flatnonzero(~m)
-    if len(live):
-        # whole contexts first: those of the same anchor, bytes and place
-        views = [raw[offsets[k] : offsets[k + 1]].tobytes() for k in live.tolist()]
-        digest = np.array([int.from_bytes(hashlib.blake2b(v, digest_size=8).digest(), "little") for v in views], np.uint64)
-        order = np.lexsort((doc[live], digest, h[live]))
-        hs, dg, ds = h[live][order], digest[order], doc[live][order]
-        new = np.concatenate([[True], (hs[1:] != hs[:-1]) | (dg[1:] != dg[:-1])])
-        group = np.cumsum(new) - 1
-        later = ds > ds[new][group]
-        full = live[order[later]]
-        out.append(_ranges(doc[full], row[full], pos[full], (pos + size)[full]))
-        # then windows, of anchors with several contexts; equal contexts of the smallest doc all take part
-        contexts = np.bincount(np.unique(hs[new], return_inverse=True)[1])
-        lone = contexts[np.searchsorted(np.unique(hs[new]), hs)] == 1
-        rest = live[order[~later & ~lone]]
+def _alike(raw: np.ndarray, offsets: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Whether pairs of pieces of one length have the same bytes."""
+    out = np.ones(len(left), bool)
+    size = offsets[left + 1] - offsets[left]
+    for i, j in slices(np.concatenate([[0], np.cumsum(size)]), 1 << 21):
+        same = _gathered(raw, offsets[left[i:j]], size[i:j]) == _gathered(raw, offsets[right[i:j]], size[i:j])
+        out[i:j] = np.logical_and.reduceat(same, np.cumsum(size[i:j]) - size[i:j])
+    return out
+
+
+def _found(bits: int):
+    """What smaller documents have of the contexts in a range: nothing, all, or parts (key within the block's part, from, to)."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        asked_ = Range(rows, bits)
+        size, doc = asked_.values("x", np.uint8).astype(np.int64), asked_.values("y", np.int64)
+        raw, offsets = asked_.raw("z", size), np.concatenate([[0], np.cumsum(size)])
+        state = np.full(len(doc), NONE, np.uint8)
+        # equal contexts: neighbours in the order of key, size and digest, whose bytes are compared
+        digest = np.concatenate([np.zeros(0, np.uint64), *[Rolling(raw[offsets[i] : offsets[j]]).of(offsets[i:j] - offsets[i], offsets[i + 1 : j + 1] - offsets[i]) for i, j in slices(offsets, 1 << 20)]])
+        order = np.lexsort((doc, digest, size, asked_.h))
+        h, d = asked_.h[order], digest[order]
+        same = np.zeros(len(order), bool)
+        same[1:] = (h[1:] == h[:-1]) & (d[1:] == d[:-1]) & (size[order][1:] == size[order][:-1])
+        pairs = np.flatnonzero(same)
+        same[pairs] = _alike(raw, offsets, order[pairs - 1], order[pairs])
+        group = np.cumsum(~same) - 1
+        least = doc[order][~same][group]
+        state[order[doc[order] > least]] = WHOLE
+        # windows, of anchors with several contexts; equal contexts of the smallest document all take part
+        firsts = h[~same]
+        several = np.zeros(len(firsts), bool)
+        several[1:] = firsts[1:] == firsts[:-1]
+        several[:-1] |= firsts[:-1] == firsts[1:]
+        rest = order[(doc[order] == least) & several[group]]
         rest = rest[np.argsort(doc[rest], kind="stable")]
-        family = SuffixIndexFamily()
+        family, parts = SuffixIndexFamily(), [np.zeros((0, 3), np.int64)]
+        strings = np.lib.stride_tricks.sliding_window_view(raw, LENGTH) if len(raw) >= LENGTH else None
         a = 0
         while a < len(rest):
-            b = min(len(rest), a + BATCH // 8)
+            b = min(len(rest), a + BATCH)
             while b < len(rest) and doc[rest[b]] == doc[rest[b - 1]]:  # a document is in one batch
                 b += 1
             k = rest[a:b]
-            n = np.maximum(0, size[k] - LENGTH + 1)
+            n = size[k] - LENGTH + 1
             who = np.repeat(np.arange(len(k)), n)
             at = np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n)
-            windows = np.ascontiguousarray(raw[(offsets[k][who] + at)[:, None] + np.arange(LENGTH)]).view(f"S{LENGTH}").ravel()
+            windows = np.ascontiguousarray(strings[offsets[k][who] + at]).view(f"S{LENGTH}").ravel()
             docs = doc[k][who]
-            keys, least, place = _suffix_array(windows, docs)
-            smallest = np.minimum(least, family.smallest(keys))
-            hit = smallest[place] < docs
-            family.add(keys, least)
+            keys, least_doc, place = _suffix_array(windows, docs)
+            hit = family.scan(keys, least_doc)[place] < docs
+            family.add(keys, least_doc)
             who, at = who[hit], at[hit]
             if len(who):
-                cut = np.concatenate([[True], (who[1:] != who[:-1]) | (at[1:] != at[:-1] + 1)])
-                start = np.flatnonzero(cut)
-                stop = np.append(start[1:], len(who)) - 1
-                x = k[who[start]]
-                out.append(_ranges(doc[x], row[x], pos[x] + at[start], pos[x] + at[stop] + LENGTH))
+                opens = np.ones(len(who), bool)
+                opens[1:] = (who[1:] != who[:-1]) | (at[1:] != at[:-1] + 1)
+                first = np.flatnonzero(opens)
+                last = np.append(first[1:], len(who)) - 1
+                parts.append(np.stack([k[who[first]], at[first], at[last] + LENGTH], axis=1))
             a = b
-    for o in out:
-        if o.num_rows:
-            yield o
-
+        parts = np.concatenate(parts)
+        parts = parts[np.lexsort((parts[:, 1], parts[:, 0]))]
+        state[parts[:, 0]] = PARTS
 
-def _binary(a: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    kind = np.int64 if pa.types.is_large_binary(a.type) else np.int32
-    offsets = np.frombuffer(a.buffers()[1], kind, len(a) + 1, a.offset * np.dtype(kind).itemsize).astype(np.int64)
-    data = a.buffers()[2]
-    return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), offsets
+        def of(a: int, b: int) -> np.ndarray:
+            lo, hi = np.searchsorted(parts[:, 0], [a, b])
+            out = np.zeros(hi - lo, _PART)
+            out["key"], out["a"], out["b"] = parts[lo:hi, 0] - a, parts[lo:hi, 1], parts[lo:hi, 2]
+            return out
 
+        return asked_.answers(state, of)
 
-def _ranges(doc, row, start, stop) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(row, pa.int32()), pa.array(np.asarray(start, np.int32)), pa.array(np.asarray(stop, np.int32))], names=["doc", "row", "a", "b"])
-
-
-def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Maximal covered runs; ranges that touch are one."""
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(ranges):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
+    return run
 
 
-def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        n, gone, spans, digest, kept = [], [], [], [], []
-        for text, ranges in zip(batch.column(1), batch.column(2).to_pylist()):
-            raw = (text.as_py() or "").encode()
-            runs = merged([(r["a"], r["b"]) for r in ranges or ()])
-            left, at = [], 0
-            for a, b in runs:
-                left.append(raw[at:a])
-                at = b
-            left = b"".join([*left, raw[at:]])
-            n.append(len(raw))
-            gone.append(len(raw) - len(left))
-            spans.append(len(runs))
-            digest.append(hashlib.sha256(left).hexdigest())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(digest, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-
-def _release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of finished steps now; their results are in written tables."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(1)
-
-
-def repeated_ranges(docs: DataFrame) -> DataFrame:
-    """(doc, row, a, b): byte ranges of texts (row: a hash of the text, to tell texts under one doc_id apart) that documents with smaller doc_ids have too."""
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").where("doc_id IS NOT NULL AND octet_length(text) >= " + str(LENGTH))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    spread = max(parts, docs.rdd.getNumPartitions())
-    found = docs.mapInArrow(_anchor_rows, "h long, doc long, pos int").repartition(spread, "h").sortWithinPartitions("h", "doc")
-    shared = write_cut(found.mapInArrow(_shared_rows, "half int, doc long, pos int"), "shared-anchors")
-    del found
-    _release(spark)
-    total = shared.count()
-    hot = shared.groupBy("half").count().where(F.col("count") > max(HOT_ROWS, int(total * HOT))).select("half").collect()  # under 1 / HOT rows
-    places = shared.groupBy("doc").agg(F.collect_list("pos").alias("at"))  # a document's anchors: bounded by its length
-    wide = docs.withColumn("row", F.hash("text")).join(places, "doc").select("doc", "row", "text", "at")
-    contexts = wide.mapInArrow(_contexts(np.array([r["half"] for r in hot], np.int64)), _CONTEXT)
-    spread = max(parts, -(-total // ROWS_PER_TASK))
-    ranges = write_cut(contexts.repartition(spread, "h").mapInArrow(_repeated, "doc long, row int, a int, b int"), "ranges")
-    del contexts, wide, places
-    _release(spark)
-    return ranges
+# --- the rounds -------------------------------------------------------------------------------------------------------
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """The contract's columns, one row per row of ``docs``."""
-    ranges = repeated_ranges(docs).groupBy("doc", "row").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
-    wide = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.hash("text").alias("own"))
-    wide = wide.join(ranges, (wide["doc_id"] == ranges["doc"]) & (wide["own"] == ranges["row"]), "left").select("doc_id", "text", "ranges")
-    return wide.mapInArrow(_kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    bits = range_bits(size, RANGE)
+    blocks = write_blocks(rows, "text", size)
+
+    def told_block(payload: bytes, answers: pa.Table) -> Block:
+        block = Block(payload)
+        block.contexts(answers, bits)
+        return block
+
+    first = write_cut(answers_of(asked(blocks, lambda number, payload: Block(payload).ask(number, bits)), _shared(bits), bits), "anchors")
+    contexts = with_answers(blocks, first, lambda number, payload, answers: told_block(payload, answers).ask_contexts(number, bits), MESSAGE)
+    second = write_cut(answers_of(contexts, _found(bits), bits), "contexts")
+    return with_answers(blocks, first.unionByName(second), lambda number, payload, answers: told_block(payload, answers).cut(answers, bits), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -12,7 +12,7 @@ import pytest
 sys.path.insert(0, str(Path(__file__).parent))
 import brute  # noqa: E402
 
-from leaklens.llm import bytecnn, decontaminate, host_rules, lm, minhash, mixing, pii, secrets, sharding, substrings, textops  # noqa: E402
+from leaklens.llm import blocks, bytecnn, decontaminate, host_rules, lm, minhash, mixing, pii, secrets, sharding, substrings, textops  # noqa: E402
 
 
 def by_id(df):
@@ -234,8 +234,9 @@ def test_repeats(docs, texts, nothing):
 
 
 def test_repeats_with_hot_anchors(spark, docs, texts, monkeypatch):
-    monkeypatch.setattr(substrings, "HOT_ROWS", 3)
-    monkeypatch.setattr(substrings, "HOT", 0.0)
+    monkeypatch.setattr(substrings, "HOT", 3)
+    monkeypatch.setattr(blocks, "block_bytes", lambda size: 2000)
+    monkeypatch.setattr(substrings, "RANGE", 5000)
     rows = by_id(substrings.remove_repeats(docs))
     want = brute.repeats(texts)
     assert {i: (rows[i].n_removed, rows[i].kept_sha256) for i in texts} == {i: (w[1], w[3]) for i, w in want.items()}
@@ -243,12 +244,41 @@ def test_repeats_with_hot_anchors(spark, docs, texts, monkeypatch):
 
 def test_index_family_keeps_few_levels():
     family, r = substrings.SuffixIndexFamily(), np.random.default_rng(0)
+    seen, first = set(), {}
     for k in range(64):
-        keys, docs = substrings._distinct(r.integers(0, 99999, 100).astype("S50"), np.full(100, k))
-        family.add(keys, docs)
+        keys = np.unique(r.integers(0, 99999, 100).astype("S50"))
+        family.add(keys, np.full(len(keys), k))
+        seen |= set(keys.tolist())
+        first = {x: k for x in keys.tolist()} | first
+        assert family.scan(keys, np.full(len(keys), k)).tolist() == [first[x] for x in keys.tolist()]
+    assert set(np.concatenate([a for a, _ in family.levels]).tolist()) == seen
     assert len(family.levels) <= 8 and all(len(a[0]) >= 2 * len(b[0]) for a, b in zip(family.levels, family.levels[1:]))
 
 
+def test_one_passage_in_most_documents(spark, monkeypatch):
+    """Its edges differ in each document, so that its outer anchors are crowded; equal and near copies besides."""
+    monkeypatch.setattr(substrings, "HOT", 20)
+    monkeypatch.setattr(blocks, "block_bytes", lambda size: 3000)
+    r = np.random.default_rng(4)
+    make = lambda n: "".join(chr(x) for x in r.integers(97, 123, n))
+    passage = make(130)
+    listed = {k: make(r.integers(0, 60)) + passage + make(r.integers(0, 60)) for k in range(120)}
+    listed |= {500 + k: listed[7] for k in range(30)}
+    listed |= {600 + k: listed[8][:40] + make(1) + listed[8][41:] for k in range(30)}
+    rows = by_id(substrings.remove_repeats(spark.createDataFrame([*listed.items()], "doc_id long, text string").repartition(5)))
+    want = brute.repeats(listed)
+    assert {i: (x.n_removed, x.n_spans, x.kept_sha256) for i, x in rows.items()} == {i: w[1:] for i, w in want.items()}
+
+
+def test_block_numbers_fall_into_the_bucket_of_their_task(spark):
+    from itertools import islice
+
+    for task, buckets in ((0, 16), (7, 5), (123_456, 1000)):
+        numbers = list(islice(blocks._numbers(task, buckets), 3))
+        got = spark.createDataFrame([(n,) for n in numbers], "n long").selectExpr(f"pmod(hash(n), {buckets}) AS b").distinct().collect()
+        assert [r.b for r in got] == [task % buckets]
+
+
 # 8
 
 
@@ -330,7 +360,7 @@ def test_rare_ngrams_count_in_large_corpora(spark):
 
 
 def test_looked_up_scores_are_those_of_the_automaton(spark, docs, nothing, monkeypatch):
-    monkeypatch.setattr(lm, "BLOCK", 2000)
+    monkeypatch.setattr(blocks, "block_bytes", lambda size: 2000)
     walked = sorted((str(r.doc_id), r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in lm.score(docs).collect())
     monkeypatch.setattr(lm, "WHOLE", -1)
     looked = sorted((str(r.doc_id), r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in lm.score(docs).collect())
