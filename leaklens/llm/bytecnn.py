@@ -183,9 +183,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         n1, n = totals.get(1, 0), sum(totals.values())
         model.constant = (n1 + 1) / (n + 2)
         return model
-    pick = known.where("quality = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS).unionByName(known.where("quality = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS))
-    # At most 2 * SAMPLE_ROWS ids: a proven bound for the broadcast, and for what comes to the driver.
-    rows = docs.select("doc_id", "text").where(F.octet_length("text") <= SAMPLE_BYTES).join(F.broadcast(pick), "doc_id").orderBy("doc_id", "quality", F.xxhash64("text")).limit(4 * SAMPLE_ROWS).collect()
+    of_class = lambda rows, q, n: rows.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+    # Twice as many ids as are wanted, for those whose texts are too long: a proven bound for the broadcast, and for what comes to the driver.
+    pick = of_class(known, 0, 2 * SAMPLE_ROWS).unionByName(of_class(known, 1, 2 * SAMPLE_ROWS))
+    short = docs.select("doc_id", "text").where(F.octet_length("text") <= SAMPLE_BYTES).join(F.broadcast(pick), "doc_id")
+    rows = of_class(short, 0, SAMPLE_ROWS).unionByName(of_class(short, 1, SAMPLE_ROWS)).orderBy("doc_id", "quality", F.xxhash64("text")).collect()
     y = np.array([r["quality"] for r in rows], np.float32)
     if len(rows) == 0 or y.min() == y.max():
         model.constant = (totals[1] + 1) / (totals[0] + totals[1] + 2)

@@ -16,10 +16,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
+#: So many bytes of a table in fewer files than there are cores may be dealt out by a shuffle.
+SMALL = 256 << 20
+#: Bytes of texts that go to a Python worker at a time, unless the session says less.
+ARROW_BYTES = 8 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """An input of fewer splits than the session has cores (one small file) is dealt out once; larger ones stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < min(cores, 64) else df
+    """A small input of fewer files than the session has cores is dealt out once; larger ones stay as they are."""
+    spark = df.sparkSession
+    if _bytes_of(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "64m")) > ARROW_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size <= SMALL and len(df.inputFiles()) < min(cores, 64) else df
+
+
+def _bytes_of(setting: str) -> int:
+    number = setting.strip().lower().removesuffix("b")
+    return int(number[:-1]) << {"k": 10, "m": 20, "g": 30}[number[-1]] if number[-1:] in ("k", "m", "g") else int(number)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,6 +42,8 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = "/tmp/leaklens-checkpoints"
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(named)

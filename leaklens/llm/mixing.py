@@ -14,7 +14,8 @@ The native form keeps all work in whole rows: no shuffle but the sums.
 
 Edge cases: a null, empty or wordless text has no tokens, a uniform posterior and the rate 1; a null domain teaches
 nothing; an unseen ending is uniform; without labelled rows all posteriors are uniform; repeated rows count as often as
-they occur; more than ``MAX_DOMAINS`` domains raise a ValueError; without documents there are no rows.
+they occur, and equal ones have equal copies; a text of any length is read whole; of domains of equal posterior the first
+by name is the likeliest; more than ``MAX_DOMAINS`` domains raise a ValueError; without documents there are no rows.
 """
 
 from __future__ import annotations
@@ -76,22 +77,22 @@ def tempered(available: np.ndarray, power: float = 0.5) -> np.ndarray:
     return share / share.sum()
 
 
-def _rate(p: Column, steps: list[np.ndarray]) -> Column:
-    """Projected gradient steps from rate 1, as an expression of the posterior."""
+def _rate(p: Column, steps: list[np.ndarray], least: float) -> Column:
+    """Gradient steps from rate 1, each projected onto rates of ``least`` or more, as an expression of the posterior."""
     rate = F.lit(1.0)
     for s in steps:
-        rate = F.greatest(F.lit(0.0), rate - sum((F.get(p, F.lit(k)) * F.lit(float(x)) for k, x in enumerate(s)), F.lit(0.0)))
+        rate = F.greatest(F.lit(float(least)), rate - sum((F.get(p, F.lit(k)) * F.lit(float(x)) for k, x in enumerate(s)), F.lit(0.0)))
     return rate
 
 
 class Mixture:
-    """Fitted rates. members: a table with n_tokens and p."""
+    """Fitted rates, none under ``least``. members: a table with n_tokens and p."""
 
-    def __init__(self, members: DataFrame, domains: list[str], targets: dict[str, float] | None = None, budget: float | None = None, steps: int = 24, tolerance: float = 1e-4):
+    def __init__(self, members: DataFrame, domains: list[str], targets: dict[str, float] | None = None, budget: float | None = None, steps: int = 24, tolerance: float = 1e-4, least: float = 0.0):
         d = len(domains)
         p = [F.get("p", F.lit(k)) for k in range(d)]
         row = members.agg(*[F.coalesce(F.sum(F.col("n_tokens") * p[k]), F.lit(0.0)) for k in range(d)], *[F.coalesce(F.sum(F.col("n_tokens") * p[i] * p[j]), F.lit(0.0)) for i in range(d) for j in range(d)]).first()
-        self.domains, self.available, self.steps = domains, np.array(row[:d]), []
+        self.domains, self.available, self.steps, self.least = domains, np.array(row[:d]), [], least
         gram, tokens = np.array(row[d:]).reshape(d, d), max(1.0, sum(row[:d]))
         share = np.array([max(0.0, targets.get(k, 0.0)) for k in domains]) if targets else tempered(self.available + 1e-9)
         share = share / share.sum()
@@ -103,7 +104,7 @@ class Mixture:
         # that a step of 1 is safe and few are needed.
         metric = np.linalg.inv(gram / tokens + 1e-6 * np.eye(d))
         for _ in range(steps):
-            used = members.select("p", (_rate(F.col("p"), self.steps) * F.col("n_tokens")).alias("used"))
+            used = members.select("p", (_rate(F.col("p"), self.steps, least) * F.col("n_tokens")).alias("used"))
             got = np.array(used.agg(*[F.coalesce(F.sum(F.col("used") * p[k]), F.lit(0.0)) for k in range(d)]).first())
             residual = (got - self.targets) / tokens
             if np.abs(residual).max() <= tolerance * max(1e-12, self.targets.sum() / tokens):
@@ -111,7 +112,7 @@ class Mixture:
             self.steps.append(metric @ residual)
 
     def rate(self, n_tokens: Column, p: Column) -> Column:
-        return F.when(n_tokens > 0, _rate(p, self.steps)).otherwise(F.lit(1.0))
+        return F.when(n_tokens > 0, _rate(p, self.steps, self.least)).otherwise(F.lit(1.0))
 
 
 def copies(rate: Column, *row: Column) -> Column:
@@ -119,10 +120,10 @@ def copies(rate: Column, *row: Column) -> Column:
     return (F.floor(rate) + F.when(draw < rate - F.floor(rate), 1).otherwise(0)).cast("int")
 
 
-def fit(docs: DataFrame, labels: DataFrame, domain: str = "lang", targets: dict[str, float] | None = None, budget: float | None = None):
+def fit(docs: DataFrame, labels: DataFrame, domain: str = "lang", targets: dict[str, float] | None = None, budget: float | None = None, least: float = 0.0):
     classifier = Classifier(docs, labels, domain)
     members = write_cut(docs.select("doc_id", F.xxhash64("text").alias("text_key"), classifier.membership(F.col("text")).alias("m")).select("doc_id", "text_key", "m.*"), "members")
-    return classifier, members, Mixture(members, classifier.domains, targets, budget)
+    return classifier, members, Mixture(members, classifier.domains, targets, budget, least=least)
 
 
 def rates(docs: DataFrame, labels: DataFrame, domain: str = "lang", targets: dict[str, float] | None = None, budget: float | None = None) -> DataFrame:
@@ -134,12 +135,12 @@ def rates(docs: DataFrame, labels: DataFrame, domain: str = "lang", targets: dic
 
 
 def mix(docs: DataFrame, labels: DataFrame, domain: str = "lang", targets: dict[str, float] | None = None, budget: float | None = None, least: int = 1) -> DataFrame:
-    """``docs`` with each row as often as its copies say, and at least ``least`` times."""
-    classifier, _, mixture = fit(docs, labels, domain, targets, budget)
+    """``docs`` with each row as often as its copies say. The rates are fitted under the bound that each row stays ``least`` times, so the expected totals are the targets."""
+    classifier, _, mixture = fit(docs, labels, domain, targets, budget, least)
     hold = "_"
     while any(c.startswith(hold) for c in docs.columns):
         hold += "_"
     m = hold + "m"
     wide = docs.withColumn(m, classifier.membership(F.col("text")))
-    n = F.greatest(F.lit(least), copies(mixture.rate(F.col(m)["n_tokens"], F.col(m)["p"]), F.col("doc_id"), F.xxhash64("text")))
+    n = copies(mixture.rate(F.col(m)["n_tokens"], F.col(m)["p"]), F.col("doc_id"), F.xxhash64("text"))
     return wide.withColumn(hold + "i", F.explode(F.array_repeat(F.lit(1), n))).select(*docs.columns)

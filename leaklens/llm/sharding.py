@@ -23,7 +23,7 @@ from pyspark.sql.functions import arrow_udf
 from .common import write_cut
 
 SAMPLES_PER_RANGE = 16
-MIN_RANGES, MAX_RANGES, ROWS_PER_RANGE = 320, 8192, 1_000_000
+MIN_RANGES, MAX_RANGES, ROWS_PER_RANGE = 320, 65_536, 250_000
 OVERFULL = 4
 
 
@@ -82,7 +82,7 @@ class Plan:
         rows, self.total = keyed.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
         n = min(MAX_RANGES, max(MIN_RANGES, rows // ROWS_PER_RANGE))
         self.splitters = _quantiles(_sample(keyed, self.total, n * SAMPLES_PER_RANGE), n) if rows else np.zeros(0, "S21")
-        for _ in range(3):
+        while True:  # keys are distinct, so each round splits what is overfull
             parts = self._parts(keyed)
             over = [r for r in parts if r["rows"] > max(1000, OVERFULL * rows / n)]
             if not over:
@@ -90,7 +90,10 @@ class Plan:
             inside = keyed.withColumn("range", _range_of(self.splitters, F.col("crc"), F.col("doc_id"), F.col("copy"))).where(F.col("range").isin([r["range"] for r in over]))
             # rows count alike in here, else a range of many small records would stay as it is
             drawn = _sample(inside.withColumn("size", F.lit(1).cast("long")), sum(r["rows"] for r in over), len(over) * OVERFULL * SAMPLES_PER_RANGE)
+            known = len(self.splitters)
             self.splitters = np.unique(np.concatenate([self.splitters, _quantiles(drawn, len(over) * OVERFULL)]))
+            if len(self.splitters) == known:
+                break
         parts = self._parts(keyed)
         self.before: dict[int, tuple[int, int]] = {}
         r0 = b0 = 0

@@ -103,6 +103,18 @@ def test_mixing_meets_its_targets(spark):
     assert sum(r.domain == ("en" if r.doc_id % 4 else "de") for r in out) == 400
 
 
+def test_mixed_rows_meet_the_targets_though_none_goes(spark):
+    words = {"en": "the of and with house tree", "de": "der und mit nicht haus baum"}
+    rows = [(k, " ".join(words["en" if k % 5 else "de"].split()[j % 6] for j in range(k % 30 + 5)), "en" if k % 5 else "de") for k in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = df.selectExpr("doc_id", "1 AS quality").where("doc_id % 3 = 0")
+    out = mixing.mix(df, labels, targets={"en": 0.5, "de": 0.5}).collect()
+    total = {lang: sum(len(r.text.split()) for r in out if r.lang == lang) for lang in words}
+    have = sum(len(t.split()) for _, t, lang in rows if lang == "en")
+    assert len({r.doc_id for r in out}) == 3000
+    assert abs(total["en"] / have - 1) < 0.03 and abs(total["de"] / have - 1) < 0.03
+
+
 def test_mixed_rows_keep_their_columns(docs, labels, nothing):
     out = mixing.mix(docs, labels)
     assert out.columns == docs.columns and out.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
