@@ -29,6 +29,7 @@ BUCKETS = 4096
 LABELLED_ROWS = 4000
 MAX_DOMAINS = 64
 TAIL = 3
+ROOM = 1.1
 GAP = r"[\x20\x09-\x0D]+"
 
 
@@ -78,11 +79,12 @@ def tempered(available: np.ndarray, power: float = 0.5) -> np.ndarray:
 
 
 def _rate(p: Column, steps: list[np.ndarray], least: float) -> Column:
-    """Gradient steps from rate 1, each projected onto rates of ``least`` or more, as an expression of the posterior."""
-    rate = F.lit(1.0)
-    for s in steps:
-        rate = F.greatest(F.lit(float(least)), rate - sum((F.get(p, F.lit(k)) * F.lit(float(x)) for k, x in enumerate(s)), F.lit(0.0)))
-    return rate
+    """Gradient steps from rate 1, each projected onto rates of ``least`` or more. The steps are data, so that all rounds run the same code."""
+    if not steps:
+        return F.lit(1.0)
+    moved = lambda rate, s: F.greatest(F.lit(float(least)), rate - sum((F.get(p, F.lit(k)) * F.get(s, F.lit(k)) for k in range(len(steps[0]))), F.lit(0.0)))
+    listed = F.split(F.lit(";".join(",".join(repr(float(x)) for x in s) for s in steps)), ";")
+    return F.aggregate(F.transform(listed, lambda s: F.split(s, ",").cast("array<double>")), F.lit(1.0), moved)
 
 
 class Mixture:
@@ -99,18 +101,25 @@ class Mixture:
         if budget is None:  # so many tokens that the most plentiful domain, against its target, is used once
             with np.errstate(divide="ignore", invalid="ignore"):
                 budget = float(np.nanmax(np.where(share > 0, self.available / share, 0.0)))
+            if least > 0:  # room for what repeated rows add to the domains that they are only partly in
+                budget *= least * ROOM
         self.targets = share * budget
-        # The distance to the targets is measured in the metric that makes all directions of the domains alike steep, so
-        # that a step of 1 is safe and few are needed.
-        metric = np.linalg.inv(gram / tokens + 1e-6 * np.eye(d))
+        # The distance to the targets is measured in the metric that makes all directions alike steep for the rows that
+        # can still move, so that a step of 1 is right and few are needed; if it was too long, the metric of all rows is safe.
+        whole, last = np.linalg.inv(gram / tokens + 1e-6 * np.eye(d)), np.inf
         for _ in range(steps):
-            used = members.select("p", (_rate(F.col("p"), self.steps, least) * F.col("n_tokens")).alias("used"))
-            got = np.array(used.agg(*[F.coalesce(F.sum(F.col("used") * p[k]), F.lit(0.0)) for k in range(d)]).first())
-            residual = (got - self.targets) / tokens
-            if np.abs(residual).max() <= tolerance * max(1e-12, self.targets.sum() / tokens):
+            state = members.select("p", "n_tokens", _rate(F.col("p"), self.steps, least).alias("rate"))
+            free = F.when(F.col("rate") > least, F.col("n_tokens")).otherwise(0)
+            sums = [F.col("rate") * F.col("n_tokens") * p[k] for k in range(d)] + [free * p[i] * p[j] for i in range(d) for j in range(d)]
+            row = np.array(state.agg(*[F.coalesce(F.sum(x), F.lit(0.0)) for x in sums]).first())
+            residual = (row[:d] - self.targets) / tokens
+            far = np.abs(residual).max()
+            if far <= tolerance * max(1e-12, self.targets.sum() / tokens):
                 break
-            self.steps.append(metric @ residual)
-
+            active = row[d:].reshape(d, d)
+            fine = far < last and np.trace(active) > 0.05 * np.trace(gram)
+            self.steps.append((np.linalg.inv(active / tokens + 1e-6 * np.eye(d)) if fine and self.steps else whole) @ residual)
+            last = far
     def rate(self, n_tokens: Column, p: Column) -> Column:
         return F.when(n_tokens > 0, _rate(p, self.steps, self.least)).otherwise(F.lit(1.0))
 

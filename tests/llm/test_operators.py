@@ -110,7 +110,7 @@ def test_mixed_rows_meet_the_targets_though_none_goes(spark):
     labels = df.selectExpr("doc_id", "1 AS quality").where("doc_id % 3 = 0")
     out = mixing.mix(df, labels, targets={"en": 0.5, "de": 0.5}).collect()
     total = {lang: sum(len(r.text.split()) for r in out if r.lang == lang) for lang in words}
-    have = sum(len(t.split()) for _, t, lang in rows if lang == "en")
+    have = mixing.ROOM * sum(len(t.split()) for _, t, lang in rows if lang == "en")
     assert len({r.doc_id for r in out}) == 3000
     assert abs(total["en"] / have - 1) < 0.03 and abs(total["de"] / have - 1) < 0.03
 
