@@ -28,7 +28,7 @@ GENERIC = Rule(C.ASSIGNMENT_RULE_ID, C.ASSIGNMENT_RULE, C.ASSIGNMENT_GROUP, C.AS
 
 
 def has_keyword(text: Column, rule: Rule) -> Column:
-    """A cheap test that no match of the rule can fail: it comes before the pattern."""
+    """The rule's gate: a line without a keyword is not matched, whatever the pattern would find there (``access-key:`` has none)."""
     low = F.lower(text)
     return any_of(F.contains(low, F.lit(k)) for k in rule.keywords) if rule.keywords else F.lit(True)
 
@@ -63,8 +63,9 @@ def union_findings(*parts: DataFrame) -> DataFrame:
 
 
 def subtract_baseline(findings: DataFrame, baseline: DataFrame) -> DataFrame:
-    """Findings that a baseline (path, line, rule) does not know."""
-    return findings.join(baseline.select("path", "line", "rule").distinct(), ["path", "line", "rule"], "left_anti")
+    """Findings that a baseline (path, line, rule, match) does not know; another secret on a known line is new."""
+    same = ["path", "line", "rule", "match"]
+    return findings.join(baseline.select(*same).distinct(), same, "left_anti")
 
 
 def dedup(findings: DataFrame) -> DataFrame:

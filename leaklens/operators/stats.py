@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def verdict_counts(verdicts: DataFrame, *by: str) -> DataFrame:
@@ -36,24 +36,38 @@ def histogram(df: DataFrame, value: str, bounds: list[float], *by: str) -> DataF
     return wide.select(*by, "sum", rows.alias("b")).select(*by, "b.le", "b.n", "sum")
 
 
-def nearest_rank(value: str, fraction: float) -> Column:
-    return F.expr(f"percentile_disc({fraction}) WITHIN GROUP (ORDER BY {value})")
+def ranked(df: DataFrame, value: str, by: str, picks: dict[str, Column]) -> DataFrame:
+    """by, n and the values at some ranks (from 0, expressions of n). Equal values are counted first and running sums sort the rest, so no group is held in memory."""
+    counted = df.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("c"))
+    w = Window.partitionBy(by)
+    x = counted.withColumn("n", F.sum("c").over(w)).withColumn("upto", F.sum("c").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)))
+    at = lambda rank: F.max(F.when((rank < F.col("upto")) & (rank >= F.col("upto") - F.col("c")), F.col(value)))
+    return x.groupBy(by).agg(F.max("n").alias("n"), *[at(rank).alias(name) for name, rank in picks.items()])
 
 
-def bench_median(xs: Column) -> Column:
-    """The upper middle one of a sorted array."""
-    return F.get(xs, F.floor(F.size(xs) / 2).cast("int"))
+def nearest(fraction: float) -> Column:
+    """The rank of a nearest-rank quantile."""
+    return F.greatest(F.lit(0), F.ceil(F.col("n") * F.lit(fraction)) - 1)
 
 
-def bench_p95(xs: Column) -> Column:
-    return F.get(xs, F.least(F.size(xs) - 1, F.floor(F.size(xs) * 0.95).cast("int")))
+def middles() -> tuple[Column, Column]:
+    half = (F.col("n") - 1) / 2
+    return F.floor(half), F.ceil(half)
+
+
+def bench_median() -> Column:
+    """The upper middle one."""
+    return F.floor(F.col("n") / 2)
+
+
+def bench_p95() -> Column:
+    return F.least(F.col("n") - 1, F.floor(F.col("n") * 0.95))
 
 
 def agreement(results: DataFrame) -> DataFrame:
     """results (fixture, tags, hits, total) by tag, with one row '*' over all fixtures; a fixture counts in each of its tags."""
-    by_tag = results.select("hits", "total", F.explode("tags").alias("tag")).groupBy("tag").agg(F.sum("hits").alias("hits"), F.sum("total").alias("total"))
-    whole = results.agg(F.sum("hits").alias("hits"), F.sum("total").alias("total")).withColumn("tag", F.lit("*"))
-    return by_tag.unionByName(whole).withColumn("agreement", F.when(F.col("total") > 0, F.col("hits") / F.col("total")).otherwise(F.lit(1.0)))
+    by_tag = results.select("hits", "total", F.explode(F.concat(F.array(F.lit("*")), "tags")).alias("tag")).groupBy("tag").agg(F.sum("hits").alias("hits"), F.sum("total").alias("total"))
+    return by_tag.withColumn("agreement", F.when(F.col("total") > 0, F.col("hits") / F.col("total")).otherwise(F.lit(1.0)))
 
 
 def pair_completeness(fixtures: DataFrame) -> DataFrame:
@@ -84,6 +98,7 @@ def run_comparison(a: DataFrame, b: DataFrame, keys: list[str], value: str) -> D
 
 def rates_by_window(events: DataFrame, ts: str, ok: Column, minutes: int = 5, watermark: str | None = None) -> DataFrame:
     """window_start, n, good, rate per tumbling window; with a watermark it also runs on a stream."""
-    x = events.withWatermark(ts, watermark) if watermark else events
+    x = events.withColumn(ts, F.col(ts).cast("timestamp"))  # a watermark needs a timestamp with a zone
+    x = x.withWatermark(ts, watermark) if watermark else x
     g = x.groupBy(F.window(ts, f"{minutes} minutes")).agg(F.count("*").alias("n"), F.count_if(ok).alias("good"))
     return g.select(F.col("window.start").alias("window_start"), "n", "good", (F.col("good") / F.col("n")).alias("rate"))

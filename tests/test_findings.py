@@ -86,11 +86,15 @@ def test_greedy_batches_stay_in_budget_and_keep_all(spark):
     assert all(len(v) <= 5 and (sum(v) <= 270 or len(v) == 1) for v in by.values()) and sorted(by) == list(range(len(by)))
 
 
-def test_windows_hold_one_file_each_and_every_line():
-    blocks = [("a", "\n".join(f"line {k}" for k in range(400))), ("a", "x"), ("b", "y")]
-    ws = packing._windows(blocks, 256)
-    assert sum(w.count("line ") for w in ws) == 400 and "x\n" in ws[-2] and ws[-1].endswith("b\ny\n")
-    assert all(-(-len(w.encode()) // 3) <= 256 + 2 for w in ws)
+def test_windows_hold_one_file_each_and_every_line(spark):
+    blocks = [("r", 1, "a", "\n".join(f"line {k}" for k in range(400))), ("r", 2, "a", "x"), ("r", 3, "b", "y"), ("r", 4, "a", "z"), ("s", 1, "b", "")]
+    got = packing.deep_windows(spark.createDataFrame(blocks, "request_id string, blk int, path string, content string"), 256).orderBy("request_id", "window_ix").collect()
+    ws = [r.window for r in got if r.request_id == "r"]
+    assert [r.window_ix for r in got if r.request_id == "r"] == list(range(len(ws)))
+    assert sum(w.count("line ") for w in ws) == 400 and ws[-3].endswith("=== a\nx\n") and ws[-2:] == ["=== b\ny\n", "=== a\nz\n"]
+    assert all(-(-len(w.encode()) // 3) <= 256 + 2 for w in ws) and [r.window for r in got if r.request_id == "s"] == ["=== b\n\n"]
+    few = packing.deep_windows(spark.createDataFrame(blocks, "request_id string, blk int, path string, content string"), 256, most=2).collect()
+    assert {r.request_id: r.truncated for r in few} == {"r": True, "s": False} and len(few) == 3
 
 
 def test_grounding_outcomes(spark):
@@ -106,3 +110,82 @@ def test_locate_prefers_diff_order_and_falls_back(spark):
     lines = spark.createDataFrame([("r", 1, "z", 5, "has needle1 here"), ("r", 2, "a", 1, "needle1 again")], "request_id string, ord int, path string, line int, text string")
     n = spark.createDataFrame([("r", 1, "needle1"), ("r", 2, '"needle1";'), ("r", 3, "nowhere"), ("r", 4, "")], "request_id string, needle_id int, needle string")
     assert {r.needle_id: (r.path, r.line, r.found) for r in locate.locate_with_fallback(n, lines).collect()} == {1: ("z", 5, "needle1"), 2: ("z", 5, "needle1"), 3: ("", 0, ""), 4: ("", 0, "")}
+
+
+def test_a_keyword_gates_the_pattern(spark):
+    lines = spark.createDataFrame([("r", "f", 1, "access-key: abcdef123456"), ("r", "f", 2, "access_key: abcdef123456")], "request_id string, path string, line int, text string")
+    assert [r.line for r in detect.rule_findings(lines).collect()] == [2]
+    assert sorted(r.line for r in detect.raw_matches(lines, detect.GENERIC, prefilter=False).collect()) == [1, 2]
+
+
+def test_another_secret_on_a_known_line_is_new(spark):
+    rows = [("r", "t", "d", "k", "f", 1, m, False) for m in ("old", "new")]
+    known = spark.createDataFrame([("f", 1, "k", "old")], "path string, line int, rule string, match string")
+    assert [r.match for r in detect.subtract_baseline(spark.createDataFrame(rows, FIND), known).collect()] == ["new"]
+
+
+def outcome(spark, value, text, kind="credential"):
+    lines = spark.createDataFrame([("r", 1, "f", 1, text)], "request_id string, ord int, path string, line int, text string")
+    claim = spark.createDataFrame([("r", 1, value, kind, 0.5, "")], "request_id string, cand_ix int, value string, kind string, confidence double, reason string")
+    none = spark.createDataFrame([], "request_id string, path string, line int, match string")
+    return grounding.ground(claim, lines, none).first().outcome
+
+
+def test_call_shaped_claims_need_a_whole_literal(spark):
+    assert outcome(spark, "process.env.SECRET_KEY", 'x = "process.env.SECRET_KEY"') == "invalid_or_reference"
+    assert outcome(spark, "getPass(now)", "x = `getPass(now)`") == "invalid_or_reference"
+    assert outcome(spark, "load(abc)", 'x = "u:load(abc)@h {"') == "invalid_or_reference"
+    assert outcome(spark, "-----BEGIN PUBLIC KEY-----", "-----BEGIN PUBLIC KEY-----") == "invalid_or_reference"
+    assert outcome(spark, "getPass(now)", "x = 'getPass(now)'") == "discovered"
+    assert outcome(spark, "getPass(now)", "getPass(now); x = 'getPass(now)'") == "invalid_or_reference"
+    assert outcome(spark, "load(abc)", 'x = "root:load(abc)@tcp(h)"') == "discovered"
+    assert outcome(spark, "load(abc)", 'x = ":load(abc)@h"') == "invalid_or_reference"
+    assert outcome(spark, "-----BEGIN EC PRIVATE KEY-----\nabc", "-----BEGIN EC PRIVATE KEY-----", "private_key") == "discovered"
+
+
+def literal_holds(value, line):
+    """Quoted literals one by one, character by character."""
+    at, first = 0, line.find(value)
+    while at < len(line):
+        if line[at] in "\"'":
+            stop = at + 1
+            while stop < len(line) and line[stop] != line[at]:
+                stop += 2 if line[stop] == "\\" else 1
+            if stop >= len(line):
+                return False
+            literal = line[at + 1 : stop]
+            if at + 1 <= first and first + len(value) <= stop and not set(literal) & set("$\\{}") and (literal == value or literal.find(f":{value}@") > 0):
+                return True
+            at = stop
+        at += 1
+    return False
+
+
+def dollars_only(value, line):
+    places = [k for k in range(len(line)) if line.startswith(value, k)]
+    return bool(places) and all(line[:k].endswith(("$", "${")) for k in places)
+
+
+def test_literals_and_references_equal_a_plain_scan(spark):
+    import random
+
+    r = random.Random(8)
+    parts = ['"', "'", "\\", "$", "${", "}", "{", ":", "@", "f(x)", "f(x)", " ", "u", "aa", "`"]
+    rows = [("".join(r.choice(parts) for _ in range(r.randint(1, 12))), r.choice(["f(x)", "f(x)f(x)", "aa", "a"])) for _ in range(4000)]
+    df = spark.createDataFrame(rows, "line string, value string").select("line", "value", grounding.quoted_whole(F.col("value"), F.col("line")).alias("q"), grounding.only_in_reference(F.col("value"), F.col("line")).alias("d"))
+    got = df.collect()
+    assert [x.d for x in got] == [dollars_only(x.value, x.line) for x in got]
+    assert [x.q for x in got] == [x.value[0] == "f" and x.value in x.line and literal_holds(x.value, x.line) for x in got]
+    assert sum(x.q for x in got) > 20 and sum(x.d for x in got) > 20
+
+
+def test_ranks_are_those_of_a_sorted_list(spark):
+    from leaklens.operators import stats
+
+    xs = [5.0, 1.0, 1.0, 3.0, 2.0, 2.0, 2.0, 9.0]
+    df = spark.createDataFrame([("a", x) for x in xs] + [("b", 4.0), ("b", None)], "g string, v double")
+    low, high = stats.middles()
+    got = {x.g: x for x in stats.ranked(df, "v", "g", {"p95": stats.nearest(0.95), "low": low, "high": high, "m": stats.bench_median(), "b": stats.bench_p95()}).collect()}
+    ys = sorted(xs)
+    assert (got["a"].n, got["a"].p95, got["a"].low, got["a"].high, got["a"].m, got["a"].b) == (8, 9.0, ys[3], ys[4], ys[4], ys[7])
+    assert (got["b"].n, got["b"].m, got["b"].b) == (1, 4.0, 4.0)
