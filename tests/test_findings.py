@@ -170,13 +170,13 @@ def test_literals_and_references_equal_a_plain_scan(spark):
     import random
 
     r = random.Random(8)
-    parts = ['"', "'", "\\", "$", "${", "}", "{", ":", "@", "f(x)", "f(x)", " ", "u", "aa", "`"]
-    rows = [("".join(r.choice(parts) for _ in range(r.randint(1, 12))), r.choice(["f(x)", "f(x)f(x)", "aa", "a"])) for _ in range(4000)]
+    parts = ['"', '"', "'", "\\", "$", "${", "}", "u:", "@", "f(x)", "f(x)", " ", "aa", "`"]
+    rows = [("".join(r.choice(parts) for _ in range(r.randint(1, 8))), r.choice(["f(x)", "f(x)f(x)", "aa", "a"])) for _ in range(4000)]
     df = spark.createDataFrame(rows, "line string, value string").select("line", "value", grounding.quoted_whole(F.col("value"), F.col("line")).alias("q"), grounding.only_in_reference(F.col("value"), F.col("line")).alias("d"))
     got = df.collect()
     assert [x.d for x in got] == [dollars_only(x.value, x.line) for x in got]
     assert [x.q for x in got] == [x.value[0] == "f" and x.value in x.line and literal_holds(x.value, x.line) for x in got]
-    assert sum(x.q for x in got) > 20 and sum(x.d for x in got) > 20
+    assert sum(x.q for x in got) > 10 and sum(x.d for x in got) > 10
 
 
 def test_ranks_are_those_of_a_sorted_list(spark):
