@@ -170,7 +170,7 @@ def test_literals_and_references_equal_a_plain_scan(spark):
     import random
 
     r = random.Random(8)
-    parts = ['"', '"', "'", "\\", "$", "${", "}", "u:", "@", "f(x)", "f(x)", " ", "aa", "`"]
+    parts = ['"', '"', "'", "\\", "$", "${", "}", "u:", "@", "f(x)", '"f(x)"', ":f(x)@", " ", "aa", "`"]
     rows = [("".join(r.choice(parts) for _ in range(r.randint(1, 8))), r.choice(["f(x)", "f(x)f(x)", "aa", "a"])) for _ in range(4000)]
     df = spark.createDataFrame(rows, "line string, value string").select("line", "value", grounding.quoted_whole(F.col("value"), F.col("line")).alias("q"), grounding.only_in_reference(F.col("value"), F.col("line")).alias("d"))
     got = df.collect()
