@@ -1,16 +1,26 @@
 """Operator 2: host-level quality rules. DataFrame functions only.
 
-Per document, counts over its whole text. Rule failures are aggregated by host (``source``), the host's failure rate is
-shrunk towards the corpus by a beta prior fitted by moments to the hosts' own rates, and the host's verdict is joined
-back to its documents: a document that fails the base rules is never kept, the others follow their host.
-
-The prior: with host failure counts k_h of n_h documents, m = sum k / sum n and v = the n-weighted variance of k_h / n_h,
-the beta prior has mean m and strength s = m (1 - m) / v - 1, kept within 1 .. ``max_strength``. A host is rejected when
-(k_h + s m) / (n_h + s) > ``max_rate``.
-
-Edge cases: a null text has no words and fails; a null host is a host of its own (the unnamed one); with no documents
-there are no rows; equal rates at all hosts give v = 0 and the largest strength; repeated rows count as often as they
-occur. One row per input row; other columns are not looked at.
+Per document, counts over its whole text, and rules on them: ``base`` (the contract's), ``symbols`` (over one symbol to
+five words), ``dup_lines`` (over six tenths of the lines with a word repeat an earlier one) and ``word_length`` (words
+of under 2 or over 15 characters on average). Each rule's failures are aggregated by host (``source``), the host's
+failure rate is shrunk towards the corpus by a beta prior fitted by moments to the hosts' own rates, and the verdict on
+the host is joined back to its documents.
+
+The prior of a rule: with k_h failures of n_h documents, m = sum k / sum n, and v the n-weighted variance of k_h / n_h
+less what binomial noise alone gives it, m (1 - m) H / N for H hosts of N documents; the strength is
+s = m (1 - m) / v - 1, kept within 1 .. ``MAX_STRENGTH``. A host's posterior rate is (k_h + s m) / (n_h + s). Against
+the corpus' rate m it says what a failure means there:
+
+* over max(``BAD_RATE``, ``FAR`` m) in any rule, the host is rejected with all its documents;
+* under m / ``FAR``, a document's failure of a rule other than base is an odd page of a clean host and is excused;
+* otherwise a document that fails the rule goes.
+
+A document that fails the base rules is never kept.
+
+Edge cases: a null text has no words and fails; a null host is a host of its own (the unnamed one); a text without words
+fails no rule but base; with no documents there are no rows; equal rates at all hosts give the largest strength;
+repeated rows count as often as they occur; texts of any length are counted whole. One row per input row; other columns
+are not looked at.
 """
 
 from __future__ import annotations
@@ -21,6 +31,8 @@ from .common import SPACES, let, write_cut
 
 GAP = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
+MAX_STRENGTH = 10_000.0
+BAD_RATE, FAR = 0.3, 4.0
 
 
 def repeat_words(words: Column) -> Column:
@@ -54,26 +66,47 @@ def measures(docs: DataFrame) -> DataFrame:
         F.transform(F.array(ws), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeat_words(w).alias("n_repeat_words")))[0].alias("w"),
         squeezed.cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-    ).select("doc_id", "host", "w.n_words", "word_chars", "n_symbols", "n_dup_lines", "w.n_repeat_words").withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
+        let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"))).alias("l"),
+    ).select("doc_id", "host", "w.n_words", "word_chars", "n_symbols", F.col("l.n").alias("n_lines"), F.col("l.dup").alias("n_dup_lines"), "w.n_repeat_words").withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
+
 
+#: The rules, as tests on a document's measures.
+RULES = {
+    "base": "base_failed",
+    "symbols": "5 * n_symbols > n_words AND n_words > 0",
+    "dup_lines": "10 * n_dup_lines > 6 * n_lines",
+    "word_length": "word_chars < 2 * n_words OR word_chars > 15 * n_words",
+}
 
-def host_verdicts(measured: DataFrame, max_rate: float = 0.5, max_strength: float = 10_000.0) -> DataFrame:
-    """host, n_docs, n_failed, shrunk_rate, host_kept: one row per host."""
-    hosts = measured.groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("base_failed").cast("long")).alias("k"))
-    rate = F.col("k") / F.col("n")
+
+def host_verdicts(measured: DataFrame, max_strength: float = MAX_STRENGTH) -> DataFrame:
+    """host, n_docs, and for each rule rate_<rule> (posterior), excused_<rule>; host_kept: one row per host."""
+    hosts = measured.groupBy("host").agg(F.count("*").alias("n"), *[F.count_if(F.expr(test)).alias(f"k_{r}") for r, test in RULES.items()])
     # One row of sums over all hosts, whatever their number.
-    sums = hosts.agg(F.sum("k").alias("k"), F.sum("n").alias("n"), F.sum(F.col("n") * rate * rate).alias("q")).first()
-    m = sums["k"] / sums["n"] if sums["n"] else 0.0
-    v = sums["q"] / sums["n"] - m * m if sums["n"] else 0.0
-    s = max_strength if v <= 1e-12 else max(1.0, min(max_strength, m * (1 - m) / v - 1))
-    shrunk = (F.col("k") + F.lit(s * m)) / (F.col("n") + F.lit(s))
-    return hosts.select("host", F.col("n").alias("n_docs"), F.col("k").alias("n_failed"), shrunk.alias("shrunk_rate"), (shrunk <= max_rate).alias("host_kept"))
+    sums = hosts.agg(F.count("*").alias("hosts"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), *[x for r in RULES for x in (F.sum(f"k_{r}").alias(f"k_{r}"), F.sum(F.col(f"k_{r}") * F.col(f"k_{r}") / F.col("n")).alias(f"q_{r}"))]).first()
+    columns, kept = [], F.lit(True)
+    for r in RULES:
+        m, s = beta_prior(sums["hosts"], sums["n"], sums[f"k_{r}"], sums[f"q_{r}"], max_strength)
+        rate = (F.col(f"k_{r}") + F.lit(s * m)) / (F.col("n") + F.lit(s))
+        columns += [rate.alias(f"rate_{r}"), (rate < m / FAR).alias(f"excused_{r}")]
+        kept &= rate <= max(BAD_RATE, FAR * m)
+    return hosts.select("host", F.col("n").alias("n_docs"), *columns, kept.alias("host_kept"))
+
+
+def beta_prior(hosts: int, n: int, k: int | None, q: float | None, max_strength: float) -> tuple[float, float]:
+    """(mean, strength) from the number of hosts and of documents, the failures, and the sum of k_h * k_h / n_h."""
+    m = k / n if n else 0.0
+    v = q / n - m * m - m * (1 - m) * hosts / n if n else 0.0
+    return m, max_strength if v <= 1e-12 else max(1.0, min(max_strength, m * (1 - m) / v - 1))
 
 
-def assess(docs: DataFrame, max_rate: float = 0.5) -> DataFrame:
-    """The contract's columns. Hosts may be many, so the verdicts are joined by an ordinary join that AQE plans by size."""
+def assess(docs: DataFrame) -> DataFrame:
+    """The contract's columns, and host_kept. Hosts may be many, so the verdicts are joined by an ordinary join that AQE plans by size."""
     measured = write_cut(measures(docs), "host-rules")
-    verdicts = host_verdicts(measured, max_rate).select(F.col("host").alias("verdict_host"), "shrunk_rate", "host_kept")
+    verdicts = host_verdicts(measured).withColumnRenamed("host", "verdict_host")
     out = measured.join(verdicts, F.col("host").eqNullSafe(F.col("verdict_host")), "left")
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.col("host_kept")).alias("kept"))
+    failed = [F.expr(test) & ~F.col(f"excused_{r}") for r, test in RULES.items() if r != "base"]
+    kept = ~F.col("base_failed") & F.col("host_kept")
+    for f in failed:
+        kept &= ~f
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "host_kept")

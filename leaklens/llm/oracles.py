@@ -6,22 +6,27 @@ WITH w AS (
          list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
          list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
   FROM documents),
-p AS (SELECT doc_id, unnest(range(1, len(ws) - 1)) AS i, ws FROM w),
-g AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM p),
+ps AS (SELECT doc_id, unnest(range(1, len(ws) - 1)) AS i, ws FROM w),
+g AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM ps),
 d AS (SELECT doc_id, unnest([i, i + 1, i + 2]) AS place FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g) WHERE c > 1),
 r AS (SELECT doc_id, count(DISTINCT place) AS n_repeat_words FROM d GROUP BY doc_id),
 m AS (
   SELECT doc_id, host, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
-         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, len(ls) AS n_lines,
          (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
   FROM w LEFT JOIN r USING (doc_id)),
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
-h AS (SELECT host, count(*) AS n, sum(base_failed::BIGINT)::BIGINT AS k FROM f GROUP BY host),
-s AS (SELECT sum(k)::DOUBLE / sum(n) AS m, sum(n * (k::DOUBLE / n) * (k::DOUBLE / n)) / sum(n) AS q FROM h),
-b AS (SELECT m, CASE WHEN q - m * m <= 1e-12 THEN 10000.0 ELSE greatest(1.0, least(10000.0, m * (1 - m) / (q - m * m) - 1)) END AS s FROM s),
-v AS (SELECT host, (k + s * m) / (n + s) <= 0.5 AS host_kept FROM h, b)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (NOT base_failed AND host_kept) AS kept
-FROM f JOIN v USING (host)
+t AS (SELECT doc_id, host, unnest(['base', 'symbols', 'dup_lines', 'word_length']) AS rule,
+             unnest([base_failed, 5 * n_symbols > n_words AND n_words > 0, 10 * n_dup_lines > 6 * n_lines, word_chars < 2 * n_words OR word_chars > 15 * n_words]) AS failed FROM f),
+h AS (SELECT host, rule, count(*) AS n, count(*) FILTER (failed) AS k FROM t GROUP BY ALL),
+s AS (SELECT rule, count(*) AS hosts, sum(n) AS total, sum(k)::DOUBLE / sum(n) AS m, sum(k * k / n) / sum(n) AS q FROM h GROUP BY rule),
+v AS (SELECT *, q - m * m - m * (1 - m) * hosts / total AS v FROM s),
+b AS (SELECT rule, m, CASE WHEN v <= 1e-12 THEN 10000.0 ELSE greatest(1.0, least(10000.0, m * (1 - m) / v - 1)) END AS s FROM v),
+p AS (SELECT host, rule, m, (k + s * m) / (n + s) AS rate FROM h JOIN b USING (rule)),
+x AS (SELECT host, bool_and(rate <= greatest(0.3, 4 * m)) AS host_kept FROM p GROUP BY host),
+g2 AS (SELECT doc_id, bool_or(failed AND NOT rate < m / 4) AS gone FROM t JOIN p USING (host, rule) WHERE rule <> 'base' GROUP BY doc_id)
+SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (NOT base_failed AND host_kept AND NOT gone) AS kept, host_kept
+FROM f JOIN x USING (host) JOIN g2 USING (doc_id)
 """
 
 OP1 = r"""

@@ -80,11 +80,27 @@ def test_host_rules(docs, texts):
         assert r.base_failed == (w[0] < 50 or 100 * w[4] > 50 * w[0]) and not (r.base_failed and r.kept)
 
 
-def test_bad_hosts_take_their_good_documents_along(spark):
+def test_hosts_decide_what_a_failure_means(spark, nothing):
     good = " ".join(f"word{k}" for k in range(80))
-    rows = [(k, good, "fine") for k in range(60)] + [(100 + k, "short", "bad") for k in range(59)] + [(200, good, "bad")] + [(300, good, "new")]
-    got = by_id(host_rules.assess(spark.createDataFrame(rows, "doc_id long, text string, source string")))
-    assert got[0].kept and got[300].kept and not got[200].base_failed and not got[200].kept
+    junk = " ".join(f"w{k} ##" for k in range(80))
+    rows = [(k, good, "fine") for k in range(600)] + [(1000 + k, "short", "bad") for k in range(59)] + [(1100, good, "bad"), (1200, good, None)]
+    rows += [(2000 + k, good, "mixed") for k in range(300)] + [(2400 + k, junk, "mixed") for k in range(30)]
+    rows += [(3000, junk, "fine")] + [(4000 + k, junk, "spam") for k in range(80)] + [(4100, good, "spam")]
+    got = by_id(host_rules.assess(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)))
+    assert got[0].kept and got[1200].kept and got[2000].kept
+    assert not got[1100].base_failed and not got[1100].kept and not got[1100].host_kept  # a host of short texts
+    assert not got[4100].kept and not got[4100].host_kept  # a host of symbols
+    assert not got[2400].kept and got[2400].host_kept  # junk of a middling host
+    assert got[3000].kept  # one odd page of a clean host
+    assert host_rules.assess(nothing).count() == 0
+
+
+def test_priors_do_not_take_noise_for_spread():
+    r = np.random.default_rng(2)
+    alike = [(1000, int(k)) for k in r.binomial(1000, 0.1, 200)]
+    apart = [(1000, int(k)) for k in r.binomial(1000, r.beta(2, 18, 200))]
+    of = lambda hosts: host_rules.beta_prior(len(hosts), sum(n for n, _ in hosts), sum(k for _, k in hosts), sum(k * k / n for n, k in hosts), 10_000.0)
+    assert of(alike)[1] > 500 and 10 < of(apart)[1] < 40 and abs(of(apart)[0] - 0.1) < 0.02
 
 
 # 3
