@@ -1,24 +1,29 @@
 """Operator 4: personal data by weak supervision.
 
-Base spans are the contract's four patterns. Around them, a broader generator proposes candidate spans of five kinds
-(email, ip, card, phone and ssn); labelers of three sorts vote on each: patterns and checksums, gazetteers (top-level
-domains, card issuer prefixes, calling codes, reserved networks) and context (cue words before the span, and what stands
-at its edges). Each vote is for, against or abstaining. The votes of all candidates of all documents are counted by
-pattern (at most ``3 ** 5`` a kind); expectation-maximisation on these counts estimates each labeler's reliability
-without labels, and its posteriors train the final span classifier, a logistic regression on votes, shape and edges,
-again on counts. Candidates that it accepts and that overlap no base span of their kind are added; base spans stay.
+Base spans are the contract's four patterns. Around them, a broader generator proposes candidate spans of six kinds:
+email (also spelled out, ``jo (at) host dot org``), ip (also of version 6), card (also between dots), phone (also
+national forms), ssn and iban. Labelers of three sorts vote on each: patterns and checksums, gazetteers (top-level
+domains, card issuer prefixes, calling codes, reserved networks, countries of accounts) and context (cue words before
+the span, and what stands at its edges). Each vote is for, against or abstaining. The candidates of all documents are
+counted by what was seen of them (votes, length, edges, a bucket of the word before); expectation-maximisation on the
+counts of votes estimates each labeler's reliability without labels, and its posteriors train the final span classifier,
+a logistic regression that reads the context word too, again on counts. Candidates that it accepts and that overlap no
+base span of their kind are added; base spans stay.
 
 One pass over the texts; what is kept of a text is its spans and candidates. Python's ``re`` runs only where a cheap
 test finds the characters a pattern needs, and each pattern is written so that its time is linear in the text.
 
 Edge cases: a null or empty text has no spans; without candidates there is nothing to learn and base spans remain;
-repeated rows each get theirs; other columns are not read; offsets are code points, ends exclusive.
+repeated rows each get theirs, and count as often as they occur; of overlapping accepted candidates of a kind the first
+is taken; a text of any length is scanned whole; other columns are not read; offsets are code points, ends exclusive.
 """
 
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,9 +32,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import write_cut
 
-KINDS = ("email", "ip", "card", "phone", "ssn")
+KINDS = ("email", "ip", "card", "phone", "ssn", "iban")
 LABELERS = ("pattern", "checksum", "gazetteer", "context", "edges")
 ACCEPT = 0.5
+WORDS = 32
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _HOST = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -38,7 +44,14 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOOSE_PHONE = re.compile(r"(?<![0-9.+-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9-])")
+_NATIONAL = re.compile(r"(?<![0-9.+/-])\(?0[0-9]{1,4}\)?(?:[ ./-][0-9]{2,4}){2,4}(?![0-9-])")
+_DOTTED_CARD = re.compile(r"(?<![0-9.])[0-9]{4}(?:\.[0-9]{4}){3}(?![0-9.])")
+_IP6 = re.compile(r"(?<![0-9A-Za-z:])[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,7}(?![0-9A-Za-z:])")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
+_IBAN = re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])")
+_AT = re.compile(r" ?(?:\(at\)|\[at\]) ?| at ", re.IGNORECASE)
+_LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]+\Z")
+_SPELLED_HOST = re.compile(r"[A-Za-z0-9-]+(?:(?: ?(?:\(dot\)|\[dot\]) ?| dot |\.)[A-Za-z0-9-]+){1,4}", re.IGNORECASE)
 
 # Gazetteers and cue words.
 _TOP_LEVEL = frozenset("com org net edu gov mil int info biz io dev app co us uk de fr es it nl eu ch at be se no dk fi pl pt ie ca mx br ar au nz jp kr cn in ru za".split())
@@ -50,7 +63,9 @@ _FOR = {
     "card": frozenset("card visa mastercard amex credit debit payment".split()),
     "phone": frozenset("phone tel telephone call mobile cell fax contact".split()),
     "ssn": frozenset("ssn social security".split()),
+    "iban": frozenset("iban account bank konto cuenta transfer".split()),
 }
+_ACCOUNT_SIZES = {"AT": 20, "BE": 16, "CH": 21, "CZ": 24, "DE": 22, "DK": 18, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "IE": 22, "IT": 27, "LU": 20, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "SE": 24}
 _AGAINST = frozenset("version v release build isbn issn doi order ref reference invoice id no nr number serial hash section figure".split())
 
 
@@ -76,6 +91,29 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", max(at + 1, done))
 
 
+def spelled(text: str) -> Iterator[tuple[int, int]]:
+    """Addresses with a spelled-out at sign; after a bare ``at`` a dot must be spelled too, else any place would do."""
+    if " at " not in text and "at)" not in (low := text.lower()) and "at]" not in low:
+        return
+    for m in _AT.finditer(text):
+        local = _LOCAL_END.search(text, max(0, m.start() - 64), m.start())
+        host = _SPELLED_HOST.match(text, m.end()) if local else None
+        if host and (m[0] != " at " or "dot" in host[0].lower()):
+            yield local.start(), host.end()
+
+
+def valid_iban(account: str) -> bool:
+    plain = account.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+
+
+def valid_ip6(text: str) -> bool:
+    try:
+        return bool(ipaddress.IPv6Address(text))
+    except ValueError:
+        return False
+
+
 def small(part: str) -> bool:
     part = part.lstrip("0")
     return len(part) <= 3 and int(part or "0") <= 255
@@ -104,9 +142,15 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
         spans |= {(1, m.start(), m.end()) for m in _IP.finditer(text)}
         spans |= {(2, m.start(), m.end()) for m in _CARD.finditer(text) if 13 <= sum("0" <= c <= "9" for c in m[0]) <= 19}
         spans |= {(3, m.start(), m.end()) for m in _LOOSE_PHONE.finditer(text)}
+        spans |= {(3, m.start(), m.end()) for m in _NATIONAL.finditer(text)}
+        spans |= {(2, m.start(), m.end()) for m in _DOTTED_CARD.finditer(text)}
         spans |= {(4, m.start(), m.end()) for m in _SSN.finditer(text)}
+        spans |= {(5, m.start(), m.end()) for m in _IBAN.finditer(text)}
         if "+" in text:
             spans |= {(3, m.start(), m.end()) for m in _PHONE.finditer(text)}
+    if ":" in text:
+        spans |= {(1, m.start(), m.end()) for m in _IP6.finditer(text) if any(c in "0123456789abcdefABCDEF" for c in m[0])}
+    spans |= {(0, a, b) for a, b in spelled(text)}
     fixed = set(base)
     return [(k, a, b, code(text, k, a, b, (k, a, b) in fixed)) for k, a, b in sorted(spans)]
 
@@ -114,10 +158,13 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
 def code(text: str, kind: int, a: int, b: int, is_base: bool) -> int:
     span, name = text[a:b], KINDS[kind]
     digits = "".join(c for c in span if "0" <= c <= "9")
-    pattern = 1 if is_base else -1 if kind < 3 else 0
+    pattern = 1 if is_base else 0
     if kind == 0:
         checksum = 1 if len(span) <= 254 and ".." not in span else -1
-        gazetteer = 1 if span.rpartition(".")[2].lower() in _TOP_LEVEL else 0
+        gazetteer = 1 if re.split(r"\.|dot[)\]]? ?", span.lower())[-1].strip() in _TOP_LEVEL else 0 if is_base else -1
+    elif kind == 1 and ":" in span:
+        checksum = 1 if valid_ip6(span) else -1
+        gazetteer = -1 if checksum < 0 or span in ("::", "::1") or span.lower().startswith(("2001:db8:", "fe80:")) else 1
     elif kind == 1:
         checksum = 1 if all(map(small, span.split("."))) else -1
         first = span.partition(".")[0].lstrip("0")
@@ -128,10 +175,14 @@ def code(text: str, kind: int, a: int, b: int, is_base: bool) -> int:
     elif kind == 3:
         checksum = 1 if 9 <= len(digits) <= 15 else -1
         gazetteer = (1 if digits.startswith(_CALLING) else -1) if span[0] == "+" else 0
+    elif kind == 5:
+        checksum = 1 if valid_iban(span) else -1
+        gazetteer = 1 if _ACCOUNT_SIZES.get(span[:2]) == len(span.replace(" ", "")) else -1
     else:
         checksum = 1 if digits[:3] not in ("000", "666") and digits[0] != "9" and digits[3:5] != "00" and digits[5:] != "0000" else -1
         gazetteer = 0
-    cues = set(re.findall(r"[a-z]+", text[max(0, a - 32) : a].lower())[-3:])
+    near = re.findall(r"[a-z]+", text[max(0, a - 32) : a].lower())[-3:]
+    cues = set(near)
     context = 1 if cues & _FOR[name] else -1 if cues & _AGAINST else 0
     before, after = text[a - 1 : a], text[b : b + 1]
     edges = -1 if before.isalnum() or after.isalnum() else 1
@@ -139,7 +190,8 @@ def code(text: str, kind: int, a: int, b: int, is_base: bool) -> int:
     for v in (pattern, checksum, gazetteer, context, edges):
         out = out * 3 + v + 1
     size = min(3, (b - a) // 8)
-    return ((out * 4 + size) * 3 + _edge(before)) * 3 + _edge(after)
+    word = zlib.crc32(near[-1].encode()) % (WORDS - 1) + 1 if near else 0
+    return (((out * 4 + size) * 3 + _edge(before)) * 3 + _edge(after)) * WORDS + word
 
 
 def _edge(c: str) -> int:
@@ -147,7 +199,7 @@ def _edge(c: str) -> int:
 
 
 def votes_of(codes: np.ndarray) -> np.ndarray:
-    v = codes // 36
+    v = codes // (36 * WORDS)
     return np.stack([v // 3 ** (len(LABELERS) - 1 - k) % 3 - 1 for k in range(len(LABELERS))], axis=1)
 
 
@@ -171,8 +223,8 @@ def reliabilities(votes: np.ndarray, counts: np.ndarray, rounds: int = 50) -> tu
 
 def features(codes: np.ndarray) -> np.ndarray:
     v = votes_of(codes)
-    rest = codes % 36
-    cols = [np.ones(len(codes))] + [v[:, k] == s for k in range(v.shape[1]) for s in (-1, 1)] + [rest // 9 == s for s in range(1, 4)] + [rest // 3 % 3 == s for s in (1, 2)] + [rest % 3 == s for s in (1, 2)]
+    rest, word = codes // WORDS % 36, codes % WORDS
+    cols = [np.ones(len(codes))] + [v[:, k] == s for k in range(v.shape[1]) for s in (-1, 1)] + [rest // 9 == s for s in range(1, 4)] + [rest // 3 % 3 == s for s in (1, 2)] + [rest % 3 == s for s in (1, 2)] + [word == s for s in range(1, WORDS)]
     return np.stack(cols, axis=1).astype(float)
 
 
@@ -199,8 +251,9 @@ class SpanClassifier:
             if not mine:
                 continue
             codes, n = np.array([c for c, _ in mine]), np.array([n for _, n in mine], float)
-            votes = votes_of(codes)
-            post, table, prior = reliabilities(votes, n)
+            votes, place = np.unique(votes_of(codes), axis=0, return_inverse=True)
+            post, table, prior = reliabilities(votes, np.bincount(place.ravel(), n, len(votes)))
+            post = post[place.ravel()]
             w = logistic(features(codes), post, n)
             good = 1 / (1 + np.exp(-np.clip(features(codes) @ w, -30, 30))) >= ACCEPT
             self.accepted[kind] = set(codes[good].tolist())

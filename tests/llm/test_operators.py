@@ -8,6 +8,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parent))
 import brute  # noqa: E402
@@ -155,6 +156,75 @@ def test_personal_data(spark):
         assert hashlib.sha256(base.encode()).hexdigest() == rows[i].base_sha256 and set(base.split(",")) - {""} <= set(rows[i].spans.split(","))
 
 
+def plain_spans(text):
+    """The contract's patterns as they stand."""
+    import re
+
+    def luhn(d):
+        return sum(sum(divmod(int(c) * (1 + k % 2), 10)) for k, c in enumerate(reversed(d))) % 10 == 0
+
+    digits = lambda m: re.sub("[^0-9]", "", m)
+    kinds = (
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(x) <= 255 for x in m.split("."))),
+        ("card", r"[0-9]([\x20-]?[0-9])+", lambda m: 13 <= len(digits(m)) <= 19 and luhn(digits(m))),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 9 <= len(digits(m)) <= 15),
+    )
+    return ",".join(f"{k}:{m.start()}:{m.end()}" for k, pattern, good in kinds for m in re.finditer(pattern, text or "") if good(m[0]))
+
+
+def test_base_spans_equal_the_plain_patterns():
+    import random
+
+    r = random.Random(6)
+    parts = ["a", "Z", "b.c", "@", "@", ".", "-", "+", "1", "23", "255", "256", "4009066533180588", "0", " ", "(", ")", "_", "%", "ü", "\n", "1.2.3.4", "x@y.z", "+1 234 567 8901"]
+    for _ in range(20_000):
+        t = "".join(r.choice(parts) for _ in range(r.randint(0, 14)))
+        assert ",".join(f"{pii.KINDS[k]}:{a}:{b}" for k, a, b in pii.base_spans(t)) == plain_spans(t), t
+
+
+def test_planted_data_beyond_the_patterns_is_found(spark, nothing):
+    r = np.random.default_rng(3)
+    word = lambda: "".join(chr(x) for x in r.integers(97, 123, int(r.integers(2, 9))))
+    num = lambda n: "".join(str(x) for x in r.integers(0, 10, n))
+    filler = lambda: " ".join(word() for _ in range(12))
+
+    def account():
+        body = "37040044" + num(10)
+        check = 98 - int(body + "131400") % 97
+        whole = f"DE{check:02d}{body}"
+        return " ".join(whole[k : k + 4] for k in range(0, len(whole), 4))
+
+    good = {
+        "email": lambda: f"email {word()} (at) {word()} (dot) com",
+        "ip": lambda: "server " + ":".join(f"{x:x}" for x in r.integers(0x2a00, 0xffff, 8)),
+        "phone": lambda: f"call 0{num(3)} {num(3)} {num(3)}",
+        "ssn": lambda: f"ssn {r.integers(100, 665)}-{r.integers(10, 99)}-{r.integers(1000, 9999)}",
+        "iban": lambda: f"account {account()}",
+        "card": lambda: "card 4009.0665.3318.0588",
+    }
+    bad = {
+        "email": lambda: f"we met {word()} at {word()}.{word()} then", "ip": lambda: f"time 12:{r.integers(10, 59)}:{r.integers(10, 59)}", "ssn": lambda: f"order {r.integers(900, 999)}-{r.integers(10, 99)}-0000",
+        "iban": lambda: f"part DE{num(2)} {num(4)} {num(4)} {num(4)} {num(4)} {num(2)}", "card": lambda: "number 4009.0665.3318.0589", "phone": lambda: f"version 10.{num(2)}.{num(2)}",
+    }
+    rows, want, wrong = [], {}, {}
+    for k in range(400):
+        kind = list(good)[k % 6]
+        lead, item = filler() + " ", good[kind]()
+        cue = item.index(" ") + 1
+        text = f"{lead}{item} {filler()}"
+        want[k] = f"{kind}:{len(lead) + cue}:{len(lead) + len(item)}"
+        rows.append((k, text))
+        rows.append((1000 + k, f"{filler()} {bad[kind]()} {filler()}"))
+    df = spark.createDataFrame(rows + rows[:1] + [(None, None)], "doc_id long, text string").withColumn("spans", F.lit("clash")).withColumn("base", F.lit(1))
+    got = pii.find(df).collect()
+    assert len(got) == len(rows) + 2 and pii.find(nothing).count() == 0
+    found = {r_.doc_id: r_.spans for r_ in got}
+    caught = sum(w in found[k].split(",") for k, w in want.items())
+    clean = sum(found[1000 + k] == "" for k in range(400))
+    assert caught >= 390 and clean >= 390, (caught, clean)
+
+
 def test_reliabilities_find_the_good_labeler():
     r = np.random.default_rng(0)
     truth = r.random(4000) < 0.5
