@@ -530,6 +530,64 @@ def test_layers_with_odd_characters_and_long_contents():
         assert spans and all(4 <= a < b <= 4 + len(text) for a, _, b in spans), k
 
 
+
+def test_more_codecs_and_deep_layers():
+    import base64
+    import bz2
+    import zlib
+
+    secret = "token=abcdefghijklmnop1234"
+    b64 = lambda raw: base64.b64encode(raw).decode()
+
+    def found(text):
+        base, whole = secrets.find_secrets(text)
+        return set(whole) - set(base)
+
+    raw = zlib.compressobj(wbits=-15)
+    deflated = raw.compress(secret.encode() + b" and some words more") + raw.flush()
+    deep = secret.encode()
+    for _ in range(40):
+        deep = zlib.compress(deep)
+    for text in (
+        "".join(f"%u{ord(c):04x}" for c in secret), "".join(f"\\u{{{ord(c):x}}}" for c in secret), b64(deflated), b64(bz2.compress(secret.encode())), b64(deep),
+        "x=" + b64(secret.encode()), "/v1/" + b64(secret.encode()), b64(b"token") + "=abcdefghijklmnop", "%00%ff%74%6f%6b%65%6e=abcdefghijklmnop",
+    ):
+        assert found(f"before {text} after"), text
+    assert not found("Ordinary sentences with McDonald and iPhone15Pro, LaTeX or JavaScript")
+
+
+def test_covers_equal_a_search_of_all():
+    r = np.random.default_rng(9)
+    for _ in range(300):
+        cover, kept = secrets.Cover(), []
+        for a, n in zip(r.integers(0, 30, 25).tolist(), r.integers(1, 12, 25).tolist()):
+            new = not any(s <= a and a + n <= e for s, e in kept)
+            assert cover.add(a, a + n) == new
+            if new:
+                kept.append((a, a + n))
+
+
+def test_base_secrets_equal_the_plain_patterns(spark, nothing):
+    import random
+    import re
+
+    kinds = (("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m[2]) >= 12), ("access", r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 18), ("hex", r"[0-9a-f]+", lambda m: len(m[0]) >= 16))
+    r = random.Random(7)
+    parts = ["password", "Token", "api_key", "APIKEY", "secret", "AKIA", "ABCDEFGH1234", "0123456789abcdef", "deadbeef", ":", "=", " ", '"', "'", "\n", "abcdefghijkl", "é", "Z", "%41", "ſ", "K"]
+    rows = [(k, "".join(r.choice(parts) for _ in range(r.randint(0, 12)))) for k in range(6000)]
+    rows += [(7000, None), (7001, ""), (7002, "x " * 100_000 + "token=abcdefghijklmnop"), (None, "AKIA" + "A" * 14)] + rows[:1]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("spans", F.lit("clash")).withColumn("base_sha256", F.lit(1))
+    got = secrets.find(df).collect()
+    assert len(got) == len(rows) and secrets.find(nothing).count() == 0
+    told = {r_.doc_id: r_ for r_ in got}
+    for k, t in rows:
+        spans = sorted((m.start(), at, f"{name}:{m.start()}:{m.end()}") for at, (name, pattern, good) in enumerate(kinds) for m in re.finditer(pattern, t or "", re.ASCII) if good(m))
+        want = ",".join(s for *_, s in spans)
+        assert told[k].base_sha256 == hashlib.sha256(want.encode()).hexdigest(), t
+        assert (told[k].n_assign, told[k].n_access, told[k].n_hex) == tuple(want.count(f"{n}:") for n, *_ in kinds)
+        assert set(want.split(",")) - {""} <= set(told[k].spans.split(","))
+
+
 # 10
 
 
