@@ -2,12 +2,15 @@
 
 Benchmark items become windows of ``window`` consecutive normalised words (an item with fewer words is one window of
 its own length). Document words are hashed window by window; hash hits are verified word for word; verified hits give
-the covered words and the items. The set of windows is broadcast only while it has at most ``MAX_BROADCAST_WINDOWS``
-rows, which is counted first; a larger set is joined by a shuffle on the window hash, with the same result.
+the covered words and the items. The windows are counted first. Up to ``MAX_BITMAP_WINDOWS`` they go with the plan as a
+bitmap of their hashes. Above that, the documents' window hashes and places, without their words, are joined with the
+set, which is broadcast up to ``MAX_BROADCAST_WINDOWS`` (16 bytes each) and meets them by a shuffle beyond; what meets
+one is verified in the text. All ways give the same result.
 
 Edge cases: a null or empty text, and one without words, has no words and no hits; a null or wordless item has no
 windows; an item repeated under several ids counts once per id; repeated document rows each get their own row back;
-an empty benchmark leaves everything clean. Further columns of the documents pass through ``decontaminate`` and are
+an empty benchmark leaves everything clean; a text of any length is read whole, and overlapping windows count a word once.
+Further columns of the documents pass through ``decontaminate`` and are
 never looked at, whatever their names.
 """
 
@@ -18,7 +21,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import ascii_lower, let, sent_if_few, write_cut
 
 WORD_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-MAX_BROADCAST_WINDOWS = 100_000
+MAX_BITMAP_WINDOWS = 100_000
+MAX_BROADCAST_WINDOWS = 4_000_000
 
 
 def _hash(*ws: Column) -> Column:
@@ -51,14 +55,19 @@ def words(text: Column) -> Column:
     return F.filter(F.split(ascii_lower(F.coalesce(text, F.lit(""))), WORD_GAP, -1), lambda w: w != "")
 
 
-def _windows(ws: Column, sizes: list[int], begins, wanted) -> Column:
-    """Array of (h, at, own): the windows of each size whose first two words ``begin`` one and whose hash is ``wanted``, with their words."""
+NEAR = "array<struct<h:bigint,at:int,n:int,own:array<string>>>"
+
+
+def _windows(ws: Column, sizes: list[int], begins, wanted, with_words: bool) -> Column:
+    """Array of (h, at, n, own): the windows of each size whose first two words ``begin`` one and whose hash is ``wanted``, with their words or without."""
+    own = lambda at, n: F.slice(ws, at, n) if with_words else F.lit(None).cast("array<string>")
+
     def of(n: int) -> Column:
         at = F.filter(F.sequence(F.lit(1), F.size(ws) - (n - 1)), lambda i: begins(_hash(*[F.get(ws, i + (k - 1)) for k in range(min(2, n))])))
         near = F.filter(F.transform(at, lambda i: F.struct(_hash(*[F.get(ws, i + (k - 1)) for k in range(n)]).alias("h"), i.alias("at"))), lambda x: wanted(x["h"]))
-        return F.when(F.size(ws) >= n, F.transform(near, lambda x: F.struct(x["h"].alias("h"), x["at"].alias("at"), F.slice(ws, x["at"], n).alias("own"))))
+        return F.when(F.size(ws) >= n, F.transform(near, lambda x: F.struct(x["h"].alias("h"), x["at"].alias("at"), F.lit(n).alias("n"), own(x["at"], n).alias("own"))))
 
-    return F.concat(*[F.coalesce(of(n), F.array().cast("array<struct<h:bigint,at:int,own:array<string>>>")) for n in sizes])
+    return F.concat(*[F.coalesce(of(n), F.array().cast(NEAR)) for n in sizes])
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = 10) -> DataFrame:
@@ -77,27 +86,27 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     grams = write_cut(benchmark_windows(benchmark, window), "benchmark-windows")
     # Two bounded facts about the benchmark: the window lengths that occur (at most ``window``) and the set's size.
     sizes = {r["n"]: r["count"] for r in grams.groupBy("n").count().collect()}
-    if sum(sizes.values()) <= MAX_BROADCAST_WINDOWS:
+    total = sum(sizes.values())
+    small = total <= MAX_BITMAP_WINDOWS
+    if small:
         known = grams.select("h", "begin").collect()
         begins, wanted = hash_set([r["begin"] for r in known]), hash_set([r["h"] for r in known])
     else:
-        begins = wanted = lambda h: F.lit(True)  # noqa: E731  every window goes through the shuffle below
+        begins = wanted = lambda h: F.lit(True)
     key = ["doc_id", "text_key", "text_len"]
-    scanned = docs.select(
-        "doc_id",
-        F.xxhash64("text").alias("text_key"),
-        F.length("text").alias("text_len"),
-        let(words(F.col("text")), lambda ws: F.struct(F.size(ws).cast("long").alias("n_words"), _windows(ws, sorted(sizes), begins, wanted).alias("near") if sizes else F.array().cast("array<struct<h:bigint,at:int,own:array<string>>>").alias("near"))).alias("r"),
-    )
-    scanned = write_cut(scanned.select(*key, "r.*"), "windows")
-    found = (
-        scanned.select(*key, F.explode("near").alias("w"))
-        .select(*key, "w.*")
-        .join(grams.select("h", "words", "items"), "h")
-        .where(F.col("own") == F.col("words"))
-        .groupBy(*key)
-        .agg(F.sort_array(F.collect_set(F.struct("at", F.size("own").alias("n")))).alias("at"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
-    )
+    whole = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.length("text").alias("text_len"), "text")
+    windows = lambda ws: (_windows(ws, sorted(sizes), begins, wanted, small) if sizes else F.array().cast(NEAR)).alias("near")
+    counted = F.size(words(F.col("text"))).cast("long").alias("n_words")
+    if small:
+        scanned = write_cut(whole.select(*key, let(words(F.col("text")), lambda ws: F.struct(F.size(ws).cast("long").alias("n_words"), windows(ws))).alias("r")).select(*key, "r.*"), "windows")
+        met = scanned.select(*key, F.explode("near").alias("w")).select(*key, "w.*").join(grams.select("h", "n", "words", "items"), ["h", "n"]).where(F.col("own") == F.col("words"))
+    else:
+        scanned = write_cut(whole.select(*key, counted), "words")
+        places = whole.select(*key, F.explode(let(words(F.col("text")), windows)).alias("w")).select(*key, "w.h", "w.at", "w.n")
+        set_ = grams.select("h", "n").distinct()
+        near = places.join(F.broadcast(set_) if total <= MAX_BROADCAST_WINDOWS else set_, ["h", "n"], "left_semi")
+        met = _verified(near.join(grams.select("h", "n", "words", "items"), ["h", "n"]), docs, key)
+    found = met.groupBy(*key).agg(F.sort_array(F.collect_set(F.struct("at", "n"))).alias("at"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     covered = F.aggregate(
         "at",
         F.struct(F.lit(0).cast("long").alias("hit"), F.lit(1).alias("free")),
@@ -109,6 +118,15 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     return scanned.join(found, same[0] & same[1] & same[2], "left").select(*key, "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
+def _verified(met: DataFrame, docs: DataFrame, key: list[str]) -> DataFrame:
+    """Those of the met windows (key, at, n, words, items) that the texts have word for word. A document's are gathered first: they are bounded by its length."""
+    by_doc = met.groupBy(*key).agg(F.collect_set(F.struct("at", "n", "words", "items")).alias("met"))
+    texts = docs.select(F.col("doc_id").alias("own_id"), F.xxhash64("text").alias("own_key"), F.length("text").alias("own_len"), "text")
+    same = F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("text_key") == F.col("own_key")) & F.col("text_len").eqNullSafe(F.col("own_len"))
+    kept = let(words(F.col("text")), lambda ws: F.filter("met", lambda x: F.slice(ws, x["at"], x["n"]) == x["words"]))
+    return by_doc.join(texts.dropDuplicates(["own_id", "own_key", "own_len"]), same).select(*key, F.explode(kept).alias("w")).select(*key, "w.*")
+
+
 def report(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """The contract's columns, one row per row of ``docs``."""
     return hits(docs, benchmark, window).select(

@@ -591,8 +591,9 @@ def test_base_secrets_equal_the_plain_patterns(spark, nothing):
 # 10
 
 
-@pytest.mark.parametrize("most", [100_000, 0])
-def test_decontamination(spark, docs, texts, nothing, monkeypatch, most):
+@pytest.mark.parametrize("bitmap, most", [(100_000, 0), (0, 100_000), (0, 0)])
+def test_decontamination(spark, docs, texts, nothing, monkeypatch, bitmap, most):
+    monkeypatch.setattr(decontaminate, "MAX_BITMAP_WINDOWS", bitmap)
     monkeypatch.setattr(decontaminate, "MAX_BROADCAST_WINDOWS", most)
     items = [(1, texts[60].split("\n")[1]), (2, "two words"), (3, " ".join(texts[110].split()[5:30])), (4, None), (5, "!!"), (6, "TWO, words!"), (7, texts[208][500:900])]
     bench = spark.createDataFrame(items, "item_id long, text string")
