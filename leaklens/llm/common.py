@@ -58,12 +58,12 @@ def write_cut(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: So many short rows (an id or two) may be sent to every executor: tens of megabytes. They are counted first.
-FEW = 2_000_000
+#: So many rows of a few numbers, 64 bytes each at most, may be sent to every executor. They are counted first.
+FEW = 1_000_000
 
 
 def sent_if_few(rows: DataFrame, most: int | None = None) -> DataFrame:
-    """A written table of ids, marked for broadcast if it has at most ``most`` rows; otherwise the join shuffles."""
+    """A written table of rows of a few numbers, marked for broadcast if it has at most ``most`` rows; otherwise the join shuffles."""
     return F.broadcast(rows) if rows.count() <= (FEW if most is None else most) else rows
 
 

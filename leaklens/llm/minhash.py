@@ -12,10 +12,14 @@ Nothing emits all pairs of a group:
 2. In every bucket (rows of one key) each class is paired with the bucket's smallest one only. These stars, filtered by
    signature distance, are confirmed and give components.
 3. Only classes that are in one bucket but in different components can still add a link that matters. Their signatures
-   are compared in blocks of at most ``BLOCK`` rows (a larger bucket is dealt over pairs of blocks), and what is
-   within the distance gives a forest over the components, not pairs. The components that it connects are a family; in
-   a family's blocks the full shingle sets are compared through an inverted index, and only links that join two
-   components come out. So no group's pairs are ever rows, and no link between two components is lost.
+   are compared in blocks of at most ``BLOCK`` rows, and what is within the distance gives a forest over the
+   components, not pairs. A larger bucket is dealt over pairs of blocks, but its largest component's rows meet only
+   those of the others, so that a million near copies cost as many rows as there are strangers among them. The
+   components that the forest connects are a family; in a family's blocks, dealt alike, the full shingle sets are
+   compared through an inverted index, and only links that join two components come out. So no group's pairs are ever
+   rows, and no link between two components is lost.
+
+A key of over ``HOT`` rows is dealt over salts wherever it is joined.
 
 Components are labelled by their smallest doc_id: by min-label propagation with pointer jumping over written tables, or
 in one task while the edges are few enough, which is counted.
@@ -45,7 +49,9 @@ SYMBOLS = CHUNKS * CHUNK
 DISTANCE = CHUNKS * (ALLOWED + 1) - 1
 BLOCK = 1024
 FAN = 256
+KEYS = CHUNKS * CHUNK  # of a signature, as one symbol of a chunk is left out
 FINISH_EDGES = 2_000_000
+HOT, MOST_HOT = 1000, 2000
 _MULTIPLIERS = np.random.default_rng(77).integers(0, 1 << 63, (SYMBOLS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _OFFSETS = np.random.default_rng(78).integers(0, 1 << 63, (SYMBOLS, 1), dtype=np.uint64)
 
@@ -233,11 +239,23 @@ def _family_links(size: int, percent: int):
     return run
 
 
-def _in_block_pairs(rows: DataFrame, size: str, name: str, block: int) -> DataFrame:
-    """rows with block, i, j: a group of up to ``block`` rows is one block, a larger one is dealt over the pairs of its blocks."""
-    parts = F.when(F.col(size) <= block, 1).otherwise(F.ceil(F.col(size) / F.lit(block // 2)).cast("int"))
-    x = rows.withColumn("parts", parts).withColumn("block", F.pmod(F.xxhash64(name), F.col("parts")).cast("int"))
-    x = x.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+def _in_block_pairs(rows: DataFrame, group: str, block: int) -> DataFrame:
+    """rows (group, node, comp, ..) of the groups that hold several components, with block, i, j.
+
+    A group of up to ``block`` rows is one block. In a larger one the largest component and the others have blocks of
+    their own: each block of the others meets all blocks, those of the largest component do not meet each other.
+    """
+    by_comp = rows.groupBy(group, "comp").agg(F.count("*").alias("n"))
+    by_group = by_comp.groupBy(group).agg(F.sum("n").alias("size"), F.max(F.struct("n", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1")
+    half = F.lit(block // 2)
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / half)).cast("int")
+    plan = by_group.select(group, (F.col("size") <= block).alias("small"), F.col("top.comp").alias("top"), blocks(F.col("size") - F.col("top.n")).alias("rest"), blocks(F.col("top.n")).alias("tops"))
+    x = rows.join(sent_if_few(write_cut(plan, "block-plan")), group)
+    in_top = F.col("comp") == F.col("top")
+    own = F.pmod(F.xxhash64("node"), F.when(in_top, F.col("tops")).otherwise(F.col("rest"))).cast("int")
+    x = x.withColumn("block", F.when(F.col("small"), 0).when(in_top, F.col("rest") + own).otherwise(own))
+    last = F.when(F.col("small"), 0).when(in_top, F.col("rest") - 1).otherwise(F.col("rest") + F.col("tops") - 1)
+    x = x.withColumn("other", F.explode(F.sequence(F.lit(0), last)))
     return x.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
 
 
@@ -292,7 +310,7 @@ class NearDuplicates:
         nodes = self.classes.select("node", "n", "sig")
         keys = nodes.select("node", "sig").mapInArrow(_index_keys, "key long, node long")
         buckets = keys.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("first")).where("size > 1")
-        members = write_cut(keys.join(buckets, "key"), "members")
+        members = write_cut(self._members(keys, write_cut(buckets, "buckets"), self.classes.count() * KEYS), "members")
 
         star = members.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
         side = lambda k: nodes.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("sig").alias(f"sig_{k}"))
@@ -302,8 +320,7 @@ class NearDuplicates:
         comps = components(links)
 
         placed = members.where("size > 2").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-        dealt = _in_block_pairs(placed.join(mixed, "key", "left_semi").join(nodes, "node"), "size", "node", BLOCK)
+        dealt = _in_block_pairs(placed.select("key", "node", "comp", "first"), "key", BLOCK).join(nodes, "node")
         dealt = dealt.select("key", "i", "j", "block", "node", "comp", "first", "n", "sig")
         forest = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_near_in_blocks, "a long, b long").distinct()
         forest = write_cut(forest, "forest")
@@ -312,6 +329,15 @@ class NearDuplicates:
             comps = components(links)
         self.links, self.components = links, comps
 
+    @staticmethod
+    def _members(keys: DataFrame, buckets: DataFrame, total: int) -> DataFrame:
+        """key, node, size, first of the keys that several classes have. Hot keys, of which there are at most ``MOST_HOT``, are dealt over salts on both sides."""
+        hot = buckets.where(F.col("size") > max(HOT, total // MOST_HOT)).select("key", F.ceil(F.col("size") / F.lit(HOT)).cast("int").alias("salts"))
+        salts = F.coalesce("salts", F.lit(1))
+        rows = keys.join(F.broadcast(hot), "key", "left").withColumn("salt", F.pmod(F.xxhash64("node"), salts).cast("int")).drop("salts")
+        dealt = buckets.join(F.broadcast(hot), "key", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+        return rows.join(dealt, ["key", "salt"]).drop("salt")
+
     def _confirmed(self, docs: DataFrame, pairs: DataFrame) -> DataFrame:
         """Those of ``pairs`` (a, b) whose full shingle sets are alike enough. A node with many partners is dealt over salts of about FAN."""
         fan = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(FAN)).alias("fan"))
@@ -329,9 +355,8 @@ class NearDuplicates:
         families = components(forest).select(F.col("node").alias("comp"), F.col("comp").alias("family"))
         alone = families.select(F.col("comp").alias("node"), "comp", "family").join(comps.select("node"), "node", "left_anti")
         members = write_cut(comps.join(families, "comp").select("node", "comp", "family").union(alone), "families")
-        sized = members.join(members.groupBy("family").agg(F.count("*").alias("size")), "family")
-        texts = _of_nodes(docs, members.select("node").distinct())
-        rows = _in_block_pairs(sized, "size", "node", BLOCK).join(texts, "node").select("family", "i", "j", "block", "node", "comp", "text")
+        texts = write_cut(_of_nodes(docs, write_cut(members.select("node").distinct(), "family-nodes")), "family-texts")
+        rows = _in_block_pairs(members, "family", BLOCK).join(texts, "node").select("family", "i", "j", "block", "node", "comp", "text")
         rows = rows.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
         return write_cut(rows.mapInArrow(_family_links(self.shingle, self.percent), "a long, b long").distinct(), "family-links")
 

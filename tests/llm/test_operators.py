@@ -54,6 +54,42 @@ def test_pairs_within_the_distance_share_a_key():
         assert keys[0] & keys[1]
 
 
+def test_pairs_at_the_threshold_are_within_the_distance():
+    """Sets of a similarity from 0.80 to 0.85: none of them may be beyond the signature distance, or the join would miss it."""
+    r = np.random.default_rng(12)
+    missed = 0
+    for _ in range(3000):
+        n = int(r.integers(20, 300))
+        similarity = r.uniform(0.80, 0.85)
+        both = math.ceil(similarity * 2 * n / (1 + similarity))
+        pool = r.integers(0, 1 << 63, 2 * n - both, dtype=np.uint64)
+        a, b = minhash.signature(pool[:n]), minhash.signature(pool[n - both :])
+        missed += int((a != b).sum()) > minhash.DISTANCE
+    assert missed <= 1
+
+
+def test_a_hot_bucket_of_several_components(spark, monkeypatch):
+    """A template's near copies, one component, among strangers that only share its words: blocks, salts and families all take part."""
+    for name, value in (("BLOCK", 16), ("HOT", 5), ("FAN", 3), ("MOST_HOT", 10**9)):
+        monkeypatch.setattr(minhash, name, value)
+    r = np.random.default_rng(5)
+    base = [f"w{k}" for k in range(100)]
+    listed = {}
+    for k in range(120):
+        words = list(base)
+        for at in r.integers(0, 100, int(r.integers(0, 4))):
+            words[at] = f"e{k}_{at}"
+        listed[k] = " ".join(words)
+    for k in range(60):
+        words = list(base)
+        for at in range(k % 7, 100, 7):
+            words[at] = f"s{k % 20}_{at}"
+        listed[500 + k] = " ".join(words)
+    df = spark.createDataFrame([*listed.items()], "doc_id long, text string").repartition(4)
+    got = {x.doc_id: x.component_id for x in minhash.NearDuplicates(df, shingle=4).report().collect()}
+    assert got == {i: c for i, (_, c) in brute.components(listed).items()}
+
+
 def test_a_family_that_only_chains_is_one_component(spark):
     """Texts that are alike to their neighbours only, in blocks smaller than the family."""
     base = [f"w{k}" for k in range(200)]
