@@ -6,6 +6,7 @@
 ASSIGNMENT_RULE = r"""(?iu)(passwd|password|pwd|pass|secret|token|api[_-]?key|access[_-]?key|secret[_-]?key|private[_-]?key|client[_-]?secret|auth[_-]?token|credential)[a-z0-9_.-]{0,20}[ \t]*[:=]{1,3}[ \t'"]*([^\t\n\f\r '"]{6,})"""
 ASSIGNMENT_RULE_ID = "generic-secret-assignment"
 ASSIGNMENT_GROUP = 2
+KUBERNETES_RULE_ID = "kubernetes-secret-yaml"
 ASSIGNMENT_KEYWORDS = ["passwd", "password", "pwd", "pass", "secret", "token", "apikey", "api_key", "api-key", "accesskey", "access_key", "secretkey", "secret_key", "privatekey", "private_key", "credential", "auth"]
 
 #: Keys that say where a secret lives. Read against the whole match, it cannot pass the first delimiter.
@@ -65,6 +66,15 @@ MIN_WINDOW_TOKENS = 256
 MAX_WINDOWS = 48
 MIN_GROUNDED_BYTES = 6
 WINDOW_HEADER = "=== "
+MAX_LITERALS, MAX_LITERAL_BYTES, MAX_CATALOG_BYTES = 32, 512, 4096
+CATALOG_HEAD = "\nEscaped source literal catalog (JSON encoding of exact source spelling):\n"
+CATALOG_TAIL = (
+    "For a catalogued literal, return source_id instead of value. The server resolves the ID to unchanged source bytes. Do not copy or decode its value. For other credentials return value as usual. Classify each normally; catalog membership alone is not evidence of a credential. Never invent an ID.\n"
+    'Candidate shape for a catalogued literal: {"source_id":"<ID from the catalog>","kind":"credential"|"private_key"|"test_data","confidence":0..1,"reason":"<context without credential bytes>"}'
+)
+REVIEW_DETECTOR = "deep_read"
+RECOVERY_PREFIX = "The previous response was incomplete or invalid."
+RECOVERY_NOTE = RECOVERY_PREFIX + " Return one complete response using the required schema and tool, with concise reasons and all required items. Copy credential values exactly. For private keys, return only the BEGIN header, never the body. Do not include commentary or repeat output."
 GAP_REASON = "model returned no verdict for this finding"
 UNSEEN_REASON = "no verdict produced for this finding"
 

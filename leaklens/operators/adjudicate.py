@@ -1,6 +1,6 @@
 """The scoring seam: plan calls, run a scorer on the workers, parse its answers, merge verdicts, review discoveries.
 
-A scorer is any callable of one prompt string that returns the model's answer text; it runs in ``mapInArrow`` tasks, so
+A scorer is any callable of one prompt string that returns the model's answer text, or that and why it ended; it runs in ``mapInArrow`` tasks, so
 a repeated task may repeat its calls: answers are keyed by (request_id, batch_id) and written once before they are used.
 """
 
@@ -8,13 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions import constants as C
 from .detect import short_circuit, truncated
 from .locate import fill_gaps, merge_response
 from .packing import body, pack_findings
 
-Scorer = Callable[[str], str]
+Scorer = Callable[[str], str | tuple[str, str]]
 
 VERDICTS = "array<struct<finding_id:string,verdict:string,confidence:double,reason:string>>"
 CANDIDATES = "array<struct<source_id:string,value:string,kind:string,confidence:double,reason:string>>"
@@ -31,9 +32,9 @@ def parse_verdicts(answers: DataFrame) -> DataFrame:
 
 
 def parse_candidates(answers: DataFrame) -> DataFrame:
-    """As verdicts, for candidates; an empty answer is no candidates, and blank values are dropped."""
+    """As verdicts, for candidates; an empty answer is no candidates, and blank values without a source are dropped."""
     got = _parsed(answers, CANDIDATES, "candidates")
-    return got.where("error OR trim(value) <> ''")
+    return got.where("error OR source_id IS NOT NULL OR trim(value) <> ''")
 
 
 def _parsed(answers: DataFrame, item: str, name: str) -> DataFrame:
@@ -47,26 +48,62 @@ def _parsed(answers: DataFrame, item: str, name: str) -> DataFrame:
     ).where(F.col("error") | F.col("ord").isNotNull())
 
 
-def call(prompts: DataFrame, scorer: Scorer) -> DataFrame:
-    """request_id, batch_id, answer, attempts for prompts (request_id, batch_id, prompt). An empty answer or an exception is tried once more."""
+def well_formed(answer: str, name: str) -> bool:
+    """Whether an answer is a JSON array, or an object (with the list ``name`` or without), of the shape to be parsed. No candidates are an answer."""
+    import json
+    import re
+
+    body = re.sub(r"\s*```\s*\Z", "", re.sub(r"\A```[^\n]*\n?", "", answer.strip()))
+    if not body and name == "candidates":
+        return True
+    try:
+        got = json.loads(body)
+    except ValueError:
+        return False
+    return isinstance(got, list) or isinstance(got, dict) and isinstance(got.get(name, []), list)
+
+
+def call(prompts: DataFrame, scorer: Scorer, name: str = "verdicts") -> DataFrame:
+    """request_id, batch_id, answer, attempts, failure for prompts (request_id, batch_id, prompt).
+
+    A scorer gives a text, or a text and why it ended. One that is malformed or cut short (``length``), and an exception,
+    is tried once more, from scratch and with a note; a refused one (``content_filter``) is not. ``failure`` names what
+    went wrong in the end, never what was answered.
+    """
     import pyarrow as pa
 
+    def one(prompt: str) -> tuple[str, int, str | None]:
+        why = None
+        for attempt in (1, 2):
+            try:
+                got = scorer(prompt if attempt == 1 else f"{prompt}\n{C.RECOVERY_NOTE}")
+            except Exception:
+                why = "backend error"
+                continue
+            text, finish = got if isinstance(got, tuple) else (got, "stop")
+            if finish == "content_filter":
+                return "", attempt, "refused"
+            if finish != "length" and well_formed(text or "", name):
+                return text or "", attempt, None
+            why = "truncated" if finish == "length" else "malformed"
+        return "malformed", 2, why
+
     def run(batches):
         for b in batches:
-            answers, attempts = [], []
-            for prompt in b.column(2).to_pylist():
-                got, n = "", 0
-                while not got and n < 2:
-                    n += 1
-                    try:
-                        got = scorer(prompt) or ""
-                    except Exception:
-                        got = ""
-                answers.append(got)
-                attempts.append(n)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(answers, pa.string()), pa.array(attempts, pa.int32())], names=["request_id", "batch_id", "answer", "attempts"])
-
-    return prompts.select("request_id", F.col("batch_id").cast("int").alias("batch_id"), "prompt").mapInArrow(run, "request_id string, batch_id int, answer string, attempts int")
+            got = [one(p) for p in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.int32()), pa.array([g[2] for g in got], pa.string())], names=["request_id", "batch_id", "answer", "attempts", "failure"])
+
+    return prompts.select("request_id", F.col("batch_id").cast("int").alias("batch_id"), "prompt").mapInArrow(run, "request_id string, batch_id int, answer string, attempts int, failure string")
+
+
+def tool_answers(calls: DataFrame, tool: str) -> DataFrame:
+    """The arguments of the calls of one tool (request_id, batch_id, ord, name, arguments) as answers to parse; other tools do not count."""
+    return calls.where(F.col("name") == tool).select("request_id", "batch_id", F.col("arguments").alias("answer"))
+
+
+def fingerprint(profile: Column, system: Column, user: Column) -> Column:
+    """profile:hash, which tells which prompt is live."""
+    return F.concat(profile, F.lit(":"), F.substring(F.sha2(F.concat(system.cast("binary"), F.lit(b"\0"), user.cast("binary")), 256), 1, 12))
 
 
 def prompts_of(packed: DataFrame) -> DataFrame:

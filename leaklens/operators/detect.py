@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import constants as C
 from ..functions.predicates import any_of, sentinel_reason
-from ..functions.text import finding_id
+from ..functions.text import finding_id, trim_space
 
 FINDING = ["request_id", "detector_type", "detector_name", "rule", "path", "line", "match", "verified"]
 
@@ -46,6 +46,37 @@ def raw_matches(lines: DataFrame, rule: Rule, prefilter: bool = True, allowlist:
     return out.where(~allowed(F.col("whole"), rule)) if allowlist else out
 
 
+def yaml_scalar(capture: Column) -> Column:
+    """The value of a captured ``key: value`` pair of one line, without one pair of quotes; else the capture as it is."""
+    cut = F.regexp_extract(capture, r"(?s)\A[^:]*:(.*)\z", 1)
+    value = trim_space(cut)
+    bare = F.regexp_replace(value, r"""(?s)\A(["'])(.*)\1\z""", "$2")
+    return F.when(F.contains(capture, F.lit(":")) & ~cut.rlike(r"[\r\n]") & (bare != ""), bare).otherwise(capture)
+
+
+def block_findings(blocks: DataFrame, rules: list[Rule], detector: str = "rules") -> DataFrame:
+    """Findings of rules whose patterns may cross lines, over added blocks (request_id, path, start_line, content).
+
+    A finding's line is that of its capture, not of the match around it. The block is cut at each whole match, so what
+    stands before the n-th is the pieces and matches before it.
+    """
+    out = None
+    for rule in rules:
+        at = lambda group: F.regexp_extract_all("content", F.lit(rule.pattern), F.lit(group))  # noqa: B023, E731
+        hit = blocks.where(has_keyword(F.col("content"), rule) & F.col("content").rlike(rule.pattern))
+        hit = hit.select("request_id", "path", "start_line", "content", F.posexplode(F.arrays_zip(at(0).alias("w"), at(rule.group).alias("m"))).alias("nth", "pair"), F.split("content", rule.pattern, -1).alias("between"), at(0).alias("all"))
+        newlines = lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))
+        whole, match = F.col("pair.w"), F.col("pair.m")
+        before = F.concat_ws("", F.slice("between", F.lit(1), F.col("nth") + 1), F.slice("all", F.lit(1), F.col("nth")))
+        inside = F.when(F.contains(whole, match), F.call_function("substring_index", whole, match, F.lit(1))).otherwise(F.lit(""))
+        found = hit.where(~allowed(whole, rule)).select(
+            "request_id", F.lit("in_process").alias("detector_type"), F.lit(detector).alias("detector_name"), F.lit(rule.id).alias("rule"), "path",
+            (F.col("start_line") + newlines(before) + newlines(inside)).cast("int").alias("line"), (yaml_scalar(match) if rule.id == C.KUBERNETES_RULE_ID else match).alias("match"), F.lit(False).alias("verified"),
+        )
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 def rule_findings(lines: DataFrame, rules: list[Rule] | None = None, detector: str = "rules") -> DataFrame:
     """Findings of all rules over lines (request_id, path, line, text)."""
     out = None

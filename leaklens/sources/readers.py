@@ -51,6 +51,31 @@ def request_id(given):
     return F.when(t.rlike(r"\A[A-Za-z0-9_.:-]{1,128}\z"), t)
 
 
+TEXT_TYPES = ["", "text/x-diff", "text/plain", "application/x-patch"]
+
+
+def decode(raw: DataFrame, max_body_bytes: int = 5 << 20) -> tuple[DataFrame, DataFrame]:
+    """(requests, errors) of raw requests (given_id, content_type, query, body as text).
+
+    A JSON body holds diff and deep, the text types are the diff; ``deep=1`` or ``true`` in the query counts for both.
+    A request without a well-shaped id gets one made of its content and place, so that a repeated read gives the same.
+    """
+    kind = F.lower(trim_space(F.substring_index(F.coalesce("content_type", F.lit("")), ";", 1)))
+    j = F.from_json("body", "struct<diff:string,deep:boolean>", {"mode": "PERMISSIVE"})
+    asked = F.coalesce(F.regexp_extract(F.coalesce("query", F.lit("")), r"(?:^|[?&])deep=([^&]*)", 1).isin("1", "true"), F.lit(False))
+    made = F.substring(F.sha2(F.concat_ws("\u0001", "content_type", "query", "body", F.monotonically_increasing_id().cast("string")), 256), 1, 26)
+    x = raw.withColumns({"kind": kind, "j": j, "asked": asked, "request_id": F.coalesce(request_id(F.col("given_id")), made)})
+    is_json, is_text = F.col("kind") == "application/json", F.col("kind").isin(TEXT_TYPES)
+    body = F.coalesce("body", F.lit(""))
+    why = (
+        F.when(F.octet_length(body) > max_body_bytes, "body too large").when(~is_json & ~is_text, F.concat(F.lit("unsupported content-type: "), "kind"))
+        .when(is_text & (body == ""), "empty body").when(is_json & F.isnull(F.try_parse_json(body)), "invalid JSON body").when(is_json & (F.coalesce("j.diff", F.lit("")) == ""), "missing diff field")
+    )
+    x = x.withColumn("error", why)
+    good = x.where("error IS NULL").select("request_id", F.when(is_json, F.col("j.diff")).otherwise(F.col("body")).alias("diff"), (F.col("asked") | (is_json & F.coalesce("j.deep", F.lit(False)))).alias("deep"))
+    return good, x.where("error IS NOT NULL").select("request_id", F.lit(400).alias("status"), "error")
+
+
 def accept(requests: DataFrame, config: Config) -> tuple[DataFrame, DataFrame]:
     """(accepted, errors): empty and over-long bodies are error rows with status 400, not exceptions."""
     why = F.when(F.coalesce(F.length("diff"), F.lit(0)) == 0, "empty diff").when(F.octet_length("diff") > config.max_body_bytes, "body too large")
