@@ -291,6 +291,20 @@ def test_shards_are_near_equal_and_whole(docs, texts, nothing):
     assert sharding.assign(nothing, 7).count() == 0
 
 
+def test_shards_equal_prefix_sums_of_the_sorted_rows(docs):
+    import zlib
+
+    rows = [(zlib.crc32((r.text or "").encode()), r.doc_id is not None, r.doc_id or 0, len((r.text or "").encode()) + 16) for r in docs.collect()]
+    total, before, want, slots = sum(r[3] for r in rows), 0, [], Counter()
+    for crc, known, doc_id, size in sorted(rows):
+        part = before * 7 // total
+        want.append((doc_id if known else None, size, crc, part, slots[part]))
+        slots[part] += 1
+        before += size
+    got = [(r.doc_id, r.size, r.text_crc32, r.shard, r.slot) for r in sharding.assign(docs, 7).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_sharded_records_keep_clashing_columns(docs):
     out = sharding.shard(docs, 5)
     assert out.columns[: len(docs.columns)] == docs.columns and len(set(out.columns)) == len(docs.columns) + 2 and out.count() == docs.count()
@@ -331,6 +345,27 @@ def test_scores_do_not_depend_on_neighbours(texts):
     assert np.allclose(together, alone, atol=1e-6)
 
 
+def test_scores_equal_a_plain_network(texts):
+    """Position by position, chunk by chunk."""
+    import re
+
+    model = bytecnn.Model(3)
+    table = model.tables()
+    for t in list(texts.values())[::5] + ["go go GO stop", "a" * 700, "é " * 300]:
+        raw = (t or "").encode()
+        symbols, last = list(raw), None
+        for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw):
+            if m[0].lower() == last:
+                symbols[m.start() : m.end()] = [256 + b for b in m[0]]
+            last = m[0].lower()
+        padded = symbols + [0] * bytecnn.WIDTH
+        response = np.array([np.maximum(0, model.bias + sum(model.embed[padded[p + w]] @ model.filters[w] for w in range(bytecnn.WIDTH) if p + w < len(padded))) for p in range(len(raw) + 1)])
+        chunks = np.array([response[k : k + bytecnn.CHUNK].max(axis=0) for k in range(0, len(response), bytecnn.HALF)])
+        z = np.concatenate([chunks.mean(axis=0), chunks.max(axis=0)]) @ model.out + model.offset[0]
+        got = model.probabilities(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), table)[0]
+        assert abs(got - 1 / (1 + np.exp(-z))) < 1e-4
+
+
 def test_gradient_agrees_with_differences():
     model = bytecnn.Model(3)
     raw = bytes(np.random.default_rng(4).choice(list(b"etaoin shrdlu##"), 700).astype(np.uint8))
