@@ -51,3 +51,22 @@ def odd_texts(spark, tmp_path_factory):
 @pytest.mark.parametrize("name", READS_LINES)
 def test_query_equals_sql_on_odd_lines(spark, odd_texts, name):
     assert_same(spark, catalog.queries()[name], catalog.oracle_sql()[name], odd_texts)
+
+
+@pytest.fixture(scope="session")
+def many_parts(tmp_path_factory):
+    """Lines whose part keys go beyond a million, several of an order with the same number, and some without a part or a number."""
+    import os
+
+    import duckdb
+
+    folder, source = str(tmp_path_factory.mktemp("parts")), "/root/testdata/sf0.001"
+    for name in set(__import__("oracle").TABLES) - {"lineitem"}:
+        os.symlink(f"{source}/{name}.parquet", f"{folder}/{name}.parquet")
+    duckdb.execute(f"""COPY (SELECT * EXCLUDE (r) REPLACE (CASE WHEN r % 97 = 5 THEN NULL ELSE r * 7919 % 6000 * 1000 + r % 1000 END AS l_partkey, CASE WHEN r % 89 = 7 THEN NULL ELSE 1 + l_linenumber % 3 END AS l_linenumber)
+        FROM (SELECT row_number() OVER () AS r, * FROM '{source}/lineitem.parquet')) TO '{folder}/lineitem.parquet'""")
+    return folder
+
+
+def test_verdict_counts_with_part_keys_beyond_a_million(spark, many_parts):
+    assert_same(spark, catalog.queries()["verdict_counts"], catalog.oracle_sql()["verdict_counts"], many_parts)
